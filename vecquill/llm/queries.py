@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import onebit, pivots
+from . import cuckoo, diverse, history, onebit, pivots
 from .vectors import usable
 
 
@@ -20,6 +20,37 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usable(table(spark, sf_dir, "ingest_requests").select("req_id", "index_name", "external_id", "vector"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.seen_before(table(spark, sf_dir, "ingest_requests"), table(spark, sf_dir, "delete_requests"))
+
+
+def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.audit(table(spark, sf_dir, "ingest_requests"), table(spark, sf_dir, "delete_requests"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usable items of all batches: (id, collection, vector)."""
+    rows = table(spark, sf_dir, "ingest_batches").select("batch_id", "index_name", F.explode("items").alias("item"))
+    rows = rows.select("batch_id", "index_name", F.col("item.item_id").alias("id"), F.col("item.external_id").alias("external_id"), F.col("item.vector").alias("vector"))
+    return usable(rows).withColumnRenamed("index_name", "collection")
+
+
+def p2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each near repeat with its distance; 0 marks a full copy."""
+    old = requests(spark, sf_dir).select(F.col("req_id").alias("id"), F.col("index_name").alias("collection"), "vector")
+    return history.near_repeats(old, items(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_repeats(spark, sf_dir).select("id_a", "id_b")
+
+
+def p3_select(spark: SparkSession, sf_dir: str, k: int = 64) -> DataFrame:
+    base = requests(spark, sf_dir)
+    names = base.select("req_id", "external_id").dropDuplicates(["req_id"])
+    return diverse.select(base, k).join(names, "req_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.clusters(requests(spark, sf_dir))
 
@@ -49,5 +80,35 @@ def p5_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_typical, p5_found, p5_results, p5_missed)
+    f.__name__: f for f in (p1_found, p1_audit, p2_found, p2_repeats, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed)
+}
+
+_USABLE = """SELECT req_id AS id, any_value(index_name) AS c, any_value(vector) AS v FROM ingest_requests
+WHERE index_name IS NOT NULL AND len(vector) = 32 AND len(list_filter(vector, lambda x: x IS NOT NULL AND NOT isnan(x) AND abs(x) <= 1e16)) = 32
+GROUP BY req_id"""
+_ITEMS = """SELECT t.item.item_id AS id, any_value(t.index_name) AS c, any_value(t.item.vector) AS v
+FROM (SELECT index_name, unnest(items) AS item FROM ingest_batches) t
+WHERE t.index_name IS NOT NULL AND len(t.item.vector) = 32 AND len(list_filter(t.item.vector, lambda x: x IS NOT NULL AND NOT isnan(x) AND abs(x) <= 1e16)) = 32
+GROUP BY t.item.item_id"""
+_NEAR = "list_distance(a.v::DOUBLE[], b.v::DOUBLE[])"
+
+SQL: dict[str, str] = {
+    "p1_found": """WITH f AS (SELECT index_name, external_id, min(req_id) AS first FROM ingest_requests WHERE index_name IS NOT NULL AND external_id <> '' GROUP BY ALL),
+e AS (SELECT DISTINCT req_id, 0::BIGINT AS pos, index_name, external_id FROM ingest_requests
+UNION ALL SELECT DISTINCT req_id, (generate_subscripts(external_ids, 1) - 1)::BIGINT, index_name, unnest(external_ids) FROM delete_requests)
+SELECT e.req_id, e.pos FROM e JOIN f USING (index_name, external_id) WHERE f.first < e.req_id""",
+    "p2_found": f"""WITH u AS ({_USABLE}), i AS ({_ITEMS}), w AS (SELECT * FROM u UNION ALL SELECT * FROM i)
+SELECT a.id AS id_a, b.id AS id_b FROM w a JOIN i b ON a.c = b.c AND a.id < b.id AND {_NEAR} <= 0.06
+WHERE list_sum(list_transform(range(1, 33), lambda k: (a.v[k]::DOUBLE - b.v[k]::DOUBLE) * (a.v[k]::DOUBLE - b.v[k]::DOUBLE))) <= 0.0025""",
+    "p4_found": f"""WITH RECURSIVE u AS MATERIALIZED ({_USABLE}),
+e AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.c = b.c AND a.id <> b.id AND {_NEAR} <= 1.0001
+WHERE list_sum(list_transform(range(1, 33), lambda k: (a.v[k]::DOUBLE - b.v[k]::DOUBLE) * (a.v[k]::DOUBLE - b.v[k]::DOUBLE))) <= 1.0),
+r AS (SELECT id AS x, id AS y FROM u UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x WHERE e.y > r.x),
+m AS (SELECT y AS req_id, min(x) AS cluster_key FROM r GROUP BY y)
+SELECT cluster_key, req_id FROM m WHERE cluster_key IN (SELECT cluster_key FROM m GROUP BY cluster_key HAVING count(*) >= 3)""",
+    "p5_found": f"""WITH u AS ({_USABLE}),
+d AS (SELECT a.id AS x, b.id AS y, list_sum(list_transform(range(1, 33), lambda k: (a.v[k]::DOUBLE - b.v[k]::DOUBLE) * (a.v[k]::DOUBLE - b.v[k]::DOUBLE))) AS d
+FROM u a JOIN u b ON a.c = b.c AND a.id <> b.id AND {_NEAR} <= 1.0001),
+n AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY d, y) AS k FROM d WHERE d <= 1.0)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n WHERE k <= 5""",
 }
