@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cuckoo, diverse, history, onebit, pivots
+from . import containers, cuckoo, diverse, history, leakage, onebit, pivots, spans
 from .vectors import usable
 
 
@@ -79,8 +79,43 @@ def p5_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.missed(base, onebit.neighbours(base))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return containers.pack(docs.select("doc_id", containers.tokens(F.col("text")).alias("size")), rows=docs.count())
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.split(packed(spark, sf_dir))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(spark, sf_dir)
+
+
+def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.report(packed(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
+
+
+def p7_altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages with up to two edits as well."""
+    return leakage.passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.Shared(table(spark, sf_dir, "documents").select("doc_id", "text")).pairs()
+
+
+def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.Shared(docs).amounts(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_audit, p2_found, p2_repeats, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed)
+    f.__name__: f for f in (p1_found, p1_audit, p2_found, p2_repeats, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p7_found, p7_altered, p8_found, p8_amounts)
 }
 
 _USABLE = """SELECT req_id AS id, any_value(index_name) AS c, any_value(vector) AS v FROM ingest_requests
@@ -111,4 +146,11 @@ d AS (SELECT a.id AS x, b.id AS y, list_sum(list_transform(range(1, 33), lambda
 FROM u a JOIN u b ON a.c = b.c AND a.id <> b.id AND {_NEAR} <= 1.0001),
 n AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY d, y) AS k FROM d WHERE d <= 1.0)
 SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n WHERE k <= 5""",
+    "p6_found": r"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]')) > 2048""",
+    "p7_found": r"""WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items),
+g AS (SELECT DISTINCT kind, id, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 8)) AS i FROM w WHERE len(w) >= 10))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i USING (g) WHERE d.kind = 'd' AND i.kind = 'i'""",
+    "p8_found": """WITH g AS (SELECT DISTINCT doc_id, substring(text, i, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id""",
 }
