@@ -1,3 +1,10 @@
 """PySpark-native vector collections: exact and approximate search over
 versioned parquet segments, and (in the optional subpackage ``llm``) operators
 for preparing training data."""
+
+from .catalog import IndexCatalog
+from .engine import Params, VectorEngine
+from .functions.distance import dot, dot_value, l2_sqr, l2_sqr_value
+from .operators.knn import all_knn, knn
+
+__all__ = ["IndexCatalog", "Params", "VectorEngine", "all_knn", "dot", "dot_value", "knn", "l2_sqr", "l2_sqr_value"]
