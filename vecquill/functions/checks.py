@@ -33,9 +33,10 @@ def bad_rows(df: DataFrame, dim: int) -> DataFrame:
     return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def repeated_ids(df: DataFrame, id_: str = "external_id") -> DataFrame:
-    """Ids that occur more than once; counts are combined before the shuffle."""
-    return df.groupBy(id_).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+def repeated_ids(df: DataFrame, *ids: str) -> DataFrame:
+    """Ids (``external_id`` if none is named) that occur more than once;
+    counts are combined before the shuffle."""
+    return df.groupBy(*(ids or ("external_id",))).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
 def check_vector(vec, dim: int, what: str) -> np.ndarray:

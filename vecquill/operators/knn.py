@@ -140,6 +140,41 @@ def knn(x: DataFrame, q: DataFrame, k: int, idx: str = "idx", vec: str = "vec",
     return out.select("qid", "rank", "idx", "dist")
 
 
+def knn_within(x: DataFrame, q: DataFrame, group: str, k: int, idx: str = "idx", vec: str = "vec", qid: str = "qid", query: str = "q", block_rows: int = 65536) -> DataFrame:
+    """(qid, idx, dist): the ``k`` nearest rows of each query's own group, as
+    many as there are. Queries are broadcast in blocks of about
+    ``block_rows``; rows stay where they are. Null groups match nothing."""
+    _check_k(k)
+    x = x.select(F.col(group).alias("g"), F.col(idx).cast("bigint").alias("i"), F.col(vec).cast("array<float>").alias("v")).where("v is not null and g is not null")
+    q = q.select(F.col(group).alias("g"), F.col(qid).cast("bigint").alias("i"), F.col(query).cast("array<float>").alias("v")).where("v is not null and g is not null").dropDuplicates(["i"])
+    blocks = max(1, -(-q.count() // block_rows))
+    out = None
+    for b in range(blocks):
+        some = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)).toArrow()
+        names = np.array(some.column(0).to_pylist(), object)
+        ids, v = ints(some.column(1)), matrix(some.column(2))
+        shared = x.sparkSession.sparkContext.broadcast({g: (ids[names == g], v[names == g]) for g in set(names)})
+
+        def run(batches, shared=shared):
+            state: dict = {}
+            for batch in batches:
+                words = batch.column(0).dictionary_encode()
+                codes, own, rows = ints(words.indices), ints(batch.column(1)), matrix(batch.column(2))
+                for code, g in enumerate(words.dictionary.to_pylist()):
+                    if g in shared.value:
+                        at = codes == code
+                        if g not in state:
+                            state[g] = Best(shared.value[g][1], None, k)
+                        state[g].add(own[at], rows[at])
+            for g, best in state.items():
+                yield best.rows(shared.value[g][0])
+
+        w = Window.partitionBy("qid").orderBy("dist", "idx")
+        part = x.mapInArrow(run, _FOUND).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def all_knn(x: DataFrame, k: int, idx: str = "idx", vec: str = "vec", **options) -> DataFrame:
     """The ``k`` nearest other rows for every row; nulls and empty input as in
     ``knn``. The work is quadratic; ``operators.ann`` prunes it."""

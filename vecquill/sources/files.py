@@ -24,10 +24,23 @@ def _length(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Create or replace a file on any store that Spark reaches."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        for s in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[s : s + (1 << 22)]))
+    finally:
+        out.close()
+
+
 def _open(path: str):
     from pyarrow import fs
 
-    system, inside = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):  # with one slash, as Hadoop writes it, or with three
+        path = "/" + path[5:].lstrip("/")
+    system, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     return system.open_input_file(inside)
 
 
