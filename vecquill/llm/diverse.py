@@ -52,16 +52,41 @@ def _emit(name, ids, x, k):
     )
 
 
+def _base(records: DataFrame, id_: str, collection: str, vector: str) -> DataFrame:
+    return records.select(F.col(collection).alias("c"), F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
+
+
 def select(records: DataFrame, k: int, id_: str = "req_id", collection: str = "index_name", vector: str = "vector", block: int = BLOCK) -> DataFrame:
     """(collection, place, id, gap, represents, radius): for each collection
     ``k`` representatives of its usable records, in order of selection.
 
-    ``represents`` counts the records whose nearest representative this is,
-    ``radius`` is the largest distance among them. A collection with fewer
-    distinct vectors than ``k`` gives one representative for each. A record
-    delivered twice counts once; empty input gives an empty result.
+    ``gap`` is the distance from those selected before. ``represents`` counts
+    the records whose nearest representative this is, ``radius`` is the
+    largest distance among them. A collection with fewer distinct vectors than
+    ``k`` gives one representative for each. A record delivered twice counts
+    once; empty input gives an empty result.
     """
-    base = records.select(F.col(collection).alias("c"), F.col(id_).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    base = _base(records, id_, collection, vector)
+    chosen = _chosen(base, k, block)
+    total = _assigned(base, chosen).groupBy("c", "id").agg(F.count(F.lit(1)).alias("represents"), F.max("far").alias("radius"))
+    out = chosen.join(total, ["c", "id"]).select("c", F.col("place").cast("bigint").alias("place"), "id", "gap", "represents", "radius")
+    return out.withColumnRenamed("c", collection).withColumnRenamed("id", id_)
+
+
+def members(records: DataFrame, k: int, id_: str = "req_id", collection: str = "index_name", vector: str = "vector", block: int = BLOCK) -> DataFrame:
+    """(collection, id, representative, place, distance): the selection in
+    full, every usable record with the representative that stands for it; the
+    rows with id = representative are the selected ones."""
+    base = _base(records, id_, collection, vector)
+    chosen = _chosen(base, k, block)
+    out = _assigned(base, chosen).join(chosen.select("c", "id", F.col("place").cast("bigint").alias("place")), ["c", "id"])
+    return out.select(F.col("c").alias(collection), F.col("member").alias(id_), F.col("id").alias("representative"), "place", F.col("far").alias("distance"))
+
+
+def _chosen(base: DataFrame, k: int, block: int) -> DataFrame:
+    """The selected rows of each collection. A block holds at least four times
+    what it selects, so that every level shrinks the pool."""
+    block = max(block, 4 * k)
 
     def blocks(batches):
         held, n = [], 0
@@ -87,7 +112,6 @@ def select(records: DataFrame, k: int, id_: str = "req_id", collection: str = "i
             yield from flush()
 
     pool = materialise(base.mapInArrow(blocks, _ROWS))
-    names: dict[str, int] = {}
 
     def again(batches):
         for _, t in sorted_groups(batches, 2):
@@ -103,19 +127,19 @@ def select(records: DataFrame, k: int, id_: str = "req_id", collection: str = "i
             break
         # each group selects k of `block` rows, so a level shrinks the pool by block / k
         pool = materialise(level(pool, F.pmod(F.xxhash64("id"), F.lit(-(-most // (block // 2))))))
-    chosen = materialise(level(pool, F.lit(0)))
-    return _weighed(base, chosen).withColumnRenamed("c", collection).withColumnRenamed("id", id_)
+    return materialise(level(pool, F.lit(0)))
 
 
-def _weighed(base: DataFrame, chosen: DataFrame, at_once: int = 65536) -> DataFrame:
-    """Count the records nearest to each representative. Representatives are
-    broadcast, at most ``at_once`` of them; beyond that, collections are
-    processed in groups."""
+def _assigned(base: DataFrame, chosen: DataFrame, at_once: int = 65536) -> DataFrame:
+    """(c, id, member, far): every record once, with its nearest
+    representative (ties: the one selected first). Representatives are
+    broadcast, about ``at_once`` of them at a time; beyond that, collections
+    are processed in groups."""
     n = chosen.count()
     groups = max(1, -(-n // at_once))
     counts = None
     for g in range(groups):
-        some = chosen.where(F.pmod(F.xxhash64("c"), F.lit(groups)) == g).select("c", "id", "vec").toArrow()
+        some = chosen.where(F.pmod(F.xxhash64("c"), F.lit(groups)) == g).orderBy("c", "place").select("c", "id", "vec").toArrow()
         words = np.array(some.column(0).to_pylist(), object)
         ids = ints(some.column(1))
         x = matrix(some.column(2), np.float64) if some.num_rows else np.zeros((0, 1))
@@ -136,5 +160,4 @@ def _weighed(base: DataFrame, chosen: DataFrame, at_once: int = 65536) -> DataFr
         # one row per record, so that a second delivery isn't counted
         part = base.mapInArrow(run, "c string, id bigint, member bigint, far double")
         counts = part if counts is None else counts.unionByName(part)
-    total = counts.groupBy("c", "id", "member").agg(F.max("far").alias("far")).groupBy("c", "id").agg(F.count(F.lit(1)).alias("represents"), F.max("far").alias("radius"))
-    return chosen.select("c", "place", "id", "gap").join(total, ["c", "id"]).select("c", F.col("place").cast("bigint").alias("place"), "id", "gap", "represents", "radius")
+    return counts.dropDuplicates(["c", "member"])

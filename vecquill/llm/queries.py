@@ -45,6 +45,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_repeats(spark, sf_dir).select("id_a", "id_b")
 
 
+def p3_members(spark: SparkSession, sf_dir: str, k: int = 64) -> DataFrame:
+    """Every usable request with the representative that stands for it."""
+    return diverse.members(requests(spark, sf_dir), k)
+
+
 def p3_select(spark: SparkSession, sf_dir: str, k: int = 64) -> DataFrame:
     base = requests(spark, sf_dir)
     names = base.select("req_id", "external_id").dropDuplicates(["req_id"])
@@ -115,7 +120,7 @@ def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_audit, p2_found, p2_repeats, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p7_found, p7_altered, p8_found, p8_amounts)
+    f.__name__: f for f in (p1_found, p1_audit, p2_found, p2_repeats, p3_members, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p7_found, p7_altered, p8_found, p8_amounts)
 }
 
 _USABLE = """SELECT req_id AS id, any_value(index_name) AS c, any_value(vector) AS v FROM ingest_requests

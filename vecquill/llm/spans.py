@@ -219,12 +219,16 @@ class Shared:
         """(doc_id, n_chars, shared_chars, copies): for every document with a
         share, how many of its characters lie in spans of 200 or more that also
         stand in another document, and how many other rows have its text."""
-        ext = self.links.select("h", F.col("a").alias("around"), "back", "ahead").unionByName(self.links.select("h", F.col("b").alias("around"), "back", "ahead"))
-        ext = ext.unionByName(self.kinds.where("lo <> hi").select("h", "around", "back", "ahead"))
+        texts = self.kinds.select("h", "around", "lo", "hi")
+        ends = self.links.select("h", F.col("a").alias("mine"), F.col("b").alias("around"), "back", "ahead").unionByName(self.links.select("h", F.col("b").alias("mine"), F.col("a").alias("around"), "back", "ahead"))
+        ext = ends.join(texts, ["h", "around"]).select("h", F.col("mine").alias("around"), "back", "ahead", "lo", "hi")
+        ext = ext.unionByName(self.kinds.where("lo <> hi").select("h", "around", "back", "ahead", "lo", "hi"))
         s = self.stretches
-        both = s.groupBy("w").agg(F.min("around").alias("lo"), F.max("around").alias("hi")).where("lo <> hi").select("w")
-        ext = ext.unionByName(s.join(both, "w").select("h", "around", "back", (F.lit(SPAN) - F.col("back")).alias("ahead"))).distinct()
-        spans = self.contexts.select("h", "around", "text_key", "pos").join(ext, ["h", "around"]).select("text_key", (F.col("pos") - F.col("back")).alias("s"), (F.col("pos") + F.col("ahead")).alias("e"))
+        sides = s.join(texts, ["h", "around"]).groupBy("h", "w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+        ext = ext.unionByName(s.join(sides, ["h", "w"]).select("h", "around", "back", (F.lit(SPAN) - F.col("back")).alias("ahead"), "lo", "hi"))
+        # lo and hi bound the texts on the other side: one of them is another text
+        spans = self.contexts.select("h", "around", "text_key", "pos").join(ext, ["h", "around"]).where("lo <> text_key or hi <> text_key")
+        spans = spans.select("text_key", (F.col("pos") - F.col("back")).alias("s"), (F.col("pos") + F.col("ahead")).alias("e"))
         from pyspark.sql import Window
 
         w = Window.partitionBy("text_key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
