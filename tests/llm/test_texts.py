@@ -165,8 +165,9 @@ def edits_between(item, doc, length, most):
 @given(st.text("ab ", min_size=12, max_size=20), st.text("ab ", min_size=12, max_size=30), st.integers(0, 2))
 def test_banded_alignment(item, doc, edits):
     a, b = (np.frombuffer(t.encode("utf-32-le"), "<u4") for t in (item, doc))
-    wide = leakage.aligned(b, a, -len(item), len(doc), 0, len(doc), edits, 8)
-    assert wide == (edits_between(item, doc, 8, edits) <= edits)
+    band = np.array([[0, 0, -len(item), len(doc), 0, len(doc)]] * 2)
+    wide = leakage.aligned(b, np.array([0, len(b)]), a, np.array([0, len(a)]), band, edits, np.array([8, 8]))
+    assert wide[0] == wide[1] == (edits_between(item, doc, 8, edits) <= edits)
 
 
 # 8

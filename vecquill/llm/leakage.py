@@ -158,52 +158,64 @@ def run_of_words(doc: np.ndarray, item: np.ndarray, diagonal: int, words: int) -
     return bool((run[words:] - run[:-words] == words).any())
 
 
-def aligned(doc: np.ndarray, item: np.ndarray, low: int, high: int, first: int, last: int, edits: int, length: int) -> bool:
-    """Banded alignment: whether ``length`` characters of the item align with
-    a stretch of the document with at most ``edits`` edits, on diagonals from
-    ``low - edits`` to ``high + edits``."""
-    d0, d1 = low - edits, high + edits
-    a, b = max(0, first - high - length), min(len(item), last - low + length)
-    wide = d1 - d0 + 1
+def aligned(docs: np.ndarray, starts: np.ndarray, items: np.ndarray, item_starts: np.ndarray, found: np.ndarray, edits: int, length: np.ndarray) -> np.ndarray:
+    """Banded alignment of all rows (document, item, lower and upper diagonal,
+    first and last place) at once: whether ``length`` characters of the item
+    align with a stretch of the document with at most ``edits`` edits, on
+    diagonals from ``lower - edits`` to ``upper + edits``."""
+    out = np.zeros(len(found), bool)
+    if not len(found):
+        return out
+    doc, item, low, high, first, last = found.T
+    d0 = low - edits
+    wide = int((high - low).max()) + 2 * edits + 1
+    begin = np.maximum(0, first - high - length)
+    end = np.minimum(item_starts[item + 1] - item_starts[item], last - low + length)
     big = 1 << 30
-    # cost[s][k]: edits of the best alignment that began s items back; kept as the furthest start per edits
-    # start[e][k]: least item position from which a path with e edits reaches diagonal k here
-    start = np.full((edits + 1, wide), big, np.int64)
-    ks = np.arange(wide)
-    for i in range(a, b):
-        j = i + d0 + ks  # document positions on each diagonal
-        inside = (j >= 0) & (j < len(doc))
-        hit = np.zeros(wide, bool)
-        hit[inside] = doc[j[inside]] == item[i]
-        new = np.full_like(start, big)
+    ks = np.arange(wide)[None]
+    live = np.arange(len(found))
+    # start[e]: least item position from which a path with e edits reaches each diagonal here
+    start = np.full((edits + 1, len(found), wide), big)
+    size = starts[doc + 1] - starts[doc]
+    for t in range(int((end - begin).max(initial=0))):
+        keep = (begin[live] + t < end[live]) & ~out[live]
+        if not keep.all():
+            live, start = live[keep], start[:, keep]
+        if not len(live):
+            break
+        i = (begin[live] + t)[:, None]
+        j = i + d0[live][:, None] + ks
+        inside = (j >= 0) & (j < size[live][:, None])
+        hit = inside & (docs[np.where(inside, starts[doc[live]][:, None] + j, 0)] == items[item_starts[item[live]][:, None] + i])
+        new = np.empty_like(start)
         for e in range(edits + 1):
-            here = np.minimum(start[e], i)  # a path may begin here
-            took = np.where(hit, here, big)
+            took = np.where(hit, np.minimum(start[e], i), big)  # a path may begin here
             if e:
                 before = np.minimum(start[e - 1], i)
-                took = np.minimum(took, before)  # substitution
-                took[:-1] = np.minimum(took[:-1], before[1:])  # item character missing in the document
-                took[1:] = np.minimum(took[1:], new[e - 1][:-1])  # document character missing in the item
+                np.minimum(took, before, out=took)  # substitution
+                np.minimum(took[:, :-1], before[:, 1:], out=took[:, :-1])  # item character missing in the document
+                np.minimum(took[:, 1:], new[e - 1][:, :-1], out=took[:, 1:])  # document character missing in the item
             new[e] = took
-            if (i + 1 - took.min()) >= length:
-                return True
+            out[live[i[:, 0] + 1 - took.min(1) >= length[live]]] = True
         start = new
-    return False
+    return out
 
 
 def _scan(shared, words: int, edits: int):
     def run(batches):
         index = shared.value
+        edges = np.r_[0, np.cumsum([len(c) for c in index.codes])].astype(np.int64)
+        flat = np.concatenate([*index.codes, np.zeros(0, np.uint32)])
         for batch in batches:
             for part in slices(batch, 1):
                 ids = ints(part.column(0))
                 codes, starts = code_points(part.column(1))
                 found = bands(index, spread(codes), codes, starts, edits)
                 if edits:
-                    hit = [n for n, (d, i, lo, hi, a, z) in enumerate(found.tolist()) if aligned(codes[starts[d] : starts[d + 1]], index.codes[i], lo, hi, a, z, edits, int(index.length[i]))]
+                    hit = np.concatenate([np.zeros(0, int)] + [s + np.flatnonzero(aligned(codes, starts, flat, edges, found[s : s + 8192], edits, index.length[found[s : s + 8192, 1]])) for s in range(0, len(found), 8192)])
                 else:
                     hit = [n for n, (d, i, lo, _, a, z) in enumerate(found.tolist()) if run_of_words(codes[starts[d] : starts[d + 1]], index.codes[i], lo, words)]
-                got = np.unique(found[hit][:, :2], axis=0) if hit else np.zeros((0, 2), np.int64)
+                got = np.unique(found[hit][:, :2], axis=0) if len(hit) else np.zeros((0, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[got[:, 0]]), pa.array(index.ids[got[:, 1]])], names=["doc_id", "item_id"])
 
     return run
