@@ -14,6 +14,10 @@ pairs that share every paragraph can be near repeats, and they are verified by
 their exact distance in double precision. Paragraphs are compared one after
 the other, each only where all before it were shared.
 
+Above some power of two (2**20 for the radius 0.05) neighbouring float32
+values are farther apart than the near radius, so near vectors have all such
+components in common: these, exactly, make the bucket of a vector with any.
+
 Buckets above ``CHUNK`` records are cut into parts by hash on the history's
 side; new records look into all parts.
 """
@@ -59,16 +63,29 @@ def _probes(h: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np
         u = y[row, j] / WIDTH
         cell = np.floor(u)
         rows, costs, hashes = [], [], []
-        # where a component is too large for its fraction to be known, both sides count as touched
-        blur = np.abs(u) * 1e-6
+        blur = 1e-6  # more than the rounding of the rotation
         for step, gap in ((0, np.zeros(len(u))), (-1, np.maximum(u - cell - blur, 0)), (1, np.maximum(1 - u + cell - blur, 0))):
             c = cost + (gap * WIDTH) ** 2
             t = np.flatnonzero(c <= limit)
-            rows.append(row[t]), costs.append(c[t]), hashes.append(_mix(h[t], (np.clip(cell[t], -9e15, 9e15) + step).astype(np.int64)))
+            rows.append(row[t]), costs.append(c[t]), hashes.append(_mix(h[t], cell[t].astype(np.int64) + step))
         row, cost, h = np.concatenate(rows), np.concatenate(costs), np.concatenate(hashes)
     return row, h
 
 
+def _place(start: np.ndarray, x: np.ndarray, side: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket): the own bucket of side 0, all touched ones of side 1."""
+    large = np.abs(x) >= 2.0 ** (np.floor(np.log2(radius * 2**24)) + 1)
+    out = np.flatnonzero(large.any(1))
+    plain = np.flatnonzero(~large.any(1))
+    y = _turned(x[plain])[:, :GRID]
+    if side:
+        row, h = _probes(start[plain], y, radius)
+    else:
+        row, h = np.arange(len(plain)), _buckets(start[plain], np.floor(y / WIDTH).astype(np.int64))
+    bits = np.where(large[out], x[out], np.float32(0)).astype(np.float32).view(np.int32).astype(np.int64)
+    return np.r_[plain[row], out], np.r_[h, _buckets(start[out] ^ np.uint64(1), bits)]
+
+
 def _turned(x: np.ndarray) -> np.ndarray:
     return x.astype(np.float64) @ rotation(x.shape[1], x.shape[1]).astype(np.float64).T
 
@@ -85,13 +102,7 @@ def hashed(records: DataFrame, side: int, radius: float, parts: dict[int, int] |
             if not batch.num_rows:
                 continue
             ids, base, content, x = ints(batch.column(0)), ints(batch.column(1)), ints(batch.column(2)), matrix(batch.column(3))
-            y = _turned(x)[:, :GRID]
-            start = base.astype(np.int64).view(np.uint64)
-            if side:
-                row, h = _probes(start, y, radius)
-            else:
-                cells = np.clip(np.floor(y / WIDTH), -9e15, 9e15).astype(np.int64)
-                row, h = np.arange(len(ids)), _buckets(start, cells)
+            row, h = _place(base.astype(np.int64).view(np.uint64), x, side, radius)
             bucket = h.view(np.int64)
             part = np.zeros(len(row), np.int32)
             if len(hot):
