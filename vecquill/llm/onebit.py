@@ -28,6 +28,8 @@ from .vectors import assign, by_cell, content_hash, exact_pairs, fit_cells, squa
 BITS = 64
 #: Standard errors that the bound allows for.
 SURE = 2.5
+#: Bounds computed at once, and parts of a row of them of which the least is taken.
+_ENTRIES, _PARTS = 1 << 18, 16
 #: Cells estimated above this many records are split inside.
 SPLIT_ABOVE = 16384
 
@@ -58,47 +60,43 @@ def nearest(ids: np.ndarray, home: np.ndarray, x: np.ndarray, k: int, limit: flo
     mid = np.median(x64, axis=0)
     o = (x64 - mid).astype(np.float32)
     codes, norm, scalar = encode(o, bits)
-    sq = norm.astype(np.float64) ** 2
-    error = (sure * 2 * norm * np.sqrt(np.maximum(1 - scalar**2, 0)) / scalar / np.sqrt(bits - 1)).astype(np.float32)
-    factor = (2 * norm / (scalar * np.sqrt(bits))).astype(np.float32)
-    signs = (np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1) * factor[:, None]
-    turned = o @ rotation(o.shape[1], bits).T
-    slack = (2e-5 * sq).astype(np.float32)
-    base = sq.astype(np.float32)
+    base = norm * norm
+    slack = 2e-5 * base + 1e-6
+    error = sure * 2 * norm * np.sqrt(np.maximum(1 - scalar**2, 0)) / scalar / np.sqrt(bits - 1)
+    factor = 2 * norm / (scalar * np.sqrt(bits))
+    # one product gives every lower bound less the query's own part: the estimate, the record's norm, and the error for the query's norm
+    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+    right = np.concatenate([signs * -factor[:, None], (base - slack)[:, None], -error[:, None]], 1).astype(np.float32).T.copy()
+    left = np.concatenate([o @ rotation(o.shape[1], bits).T, np.ones((n, 1)), norm[:, None]], 1).astype(np.float32)
+    own = (base - slack).astype(np.float32)
     out = []
-    step = int(min(1024, max(16, (1 << 22) // n)))
-    part = 16
+    step = int(min(1024, max(16, _ENTRIES // n)))
+    m = n // _PARTS * _PARTS
     for s in range(0, len(queries), step):
         q = queries[s : s + step]
         b = len(q)
+        low = left[q] @ right
+        low[np.arange(b), q] = np.inf
         known = np.full(b, limit)
-        low = turned[q] @ signs.T
-        np.subtract(base[None], low, out=low)
-        low += base[q][:, None]
-        if n > 8 * part * k:
+        if m // _PARTS > 8 * k:
             # a bound on the k-th distance: exact distances of some records that look near
-            m = n // part * part
-            low[np.arange(b), q] = np.inf
-            best = low[:, :m].reshape(b, m // part, part).min(2)
-            pick = np.argpartition(best, k + 2, axis=1)[:, : k + 3]
-            inside = np.take_along_axis(low[:, :m].reshape(b, m // part, part), pick[:, :, None], 1).argmin(2)
-            some = pick * part + inside
+            parts = low[:, :m].reshape(b, _PARTS, m // _PARTS)
+            pick = np.argpartition(parts.min(1), k + 2, axis=1)[:, : k + 3]
+            inside = parts[np.arange(b)[:, None], :, pick].argmin(2)
+            some = inside * (m // _PARTS) + pick
             d = exact_pairs(x64, x64, np.repeat(q, k + 3), some.ravel()).reshape(b, k + 3)
             known = np.minimum(known, np.partition(d, k - 1, axis=1)[:, k - 1])
-        bound = (known + slack[q] + 1e-6).astype(np.float32)
-        reach = norm[q][:, None] * error[None]
-        reach += slack[None]
-        low -= reach
-        i, j = np.nonzero(low <= bound[:, None])
+        at = np.flatnonzero(low <= (known - own[q]).astype(np.float32)[:, None])
+        i, j = at // n, at % n
         away = ids[q[i]] != ids[j]
         i, j = i[away], j[away]
         d = exact_pairs(x64, x64, q[i], j)
-        ok = d <= limit
+        ok = d <= known[i]
         i, j, d = i[ok], j[ok], d[ok]
         order = np.lexsort((ids[j], d, i))
         i, j, d = i[order], j[order], d[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i)
-        top = first < k
+        counts = np.bincount(i, minlength=b)
+        top = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) < k
         out.append((q[i[top]], j[top], d[top]))
     return tuple(np.concatenate(v) for v in zip(*out)) if out else none
 
