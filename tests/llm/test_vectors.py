@@ -207,20 +207,35 @@ def test_repeats(spark, chunk):
     assert history.near_repeats(old, new.limit(0)).count() == 0
 
 
-def test_probes_touch_every_near_cell():
+@pytest.mark.parametrize("dims,width", [(history.GRID, history.WIDTH), (8, history.FINE)])
+def test_probes_touch_every_near_cell(dims, width):
     rng = np.random.default_rng(1)
     r = np.sqrt(history.NEAR)
-    y = rng.uniform(-3, 3, (3000, history.GRID))
+    y = rng.uniform(-3, 3, (3000, dims))
     y[:500] = np.round(y[:500])  # on the grid's lines
     step = rng.standard_normal(y.shape)
     z = y + r * step / np.linalg.norm(step, axis=1)[:, None] * rng.uniform(0, 1, (3000, 1))
     h = np.zeros(3000, np.uint64)
-    row, bucket = history._probes(h, y, r)
+    row, bucket = history._probes(h, y, r, width)
     touched = set(zip(row.tolist(), bucket.tolist()))
-    home = history._buckets(h, np.floor(z / history.WIDTH).astype(np.int64))
+    home = history._buckets(h, np.floor(z / width).astype(np.int64))
     assert all((i, b) in touched for i, b in enumerate(home.tolist()))
 
 
+def test_near_vectors_share_all_paragraphs():
+    rng = np.random.default_rng(2)
+    r = float(np.sqrt(history.NEAR))
+    x = rng.standard_normal((500, 32)).astype(np.float32)
+    step = rng.standard_normal(x.shape)
+    near = (x + 0.999 * r * step / np.linalg.norm(step, axis=1)[:, None]).astype(np.float32)
+    hashes = history.paragraphs(near, r)
+    other = history.paragraphs(rng.standard_normal((500, 32)).astype(np.float32), r)
+    for p in range(history.PARAGRAPHS):
+        wanted = set(zip(*(v.tolist() for v in history.asked(x, r, p))))
+        assert all((i, h) in wanted for i, h in enumerate(hashes[:, p].tolist()))
+        assert sum((i, h) in wanted for i, h in enumerate(other[:, p].tolist())) < 25
+
+
 def test_history_in_batches(spark, tmp_path):
     x = sample(8, clusters=3)
     names = names_of(len(x))

@@ -2,21 +2,23 @@
 
 A vector's content hash covers its collection and components (-0.0 as 0.0);
 equal hashes are full copies. Its paragraphs are the four quarters of the
-vector, turned by a fixed rotation so that no quarter is constant in all data.
-The bucket is the hash of the collection and of a coarse grid cell of the
-first paragraph's leading components. History holds each record once, in its
-own bucket. A new record looks into every bucket that the ball of the near
-radius around it touches, so a bucket-local join misses nothing.
-
-Within a bucket a paragraph is shared when its squared distance alone is
-within the near limit; the share of shared paragraphs is the coverage. Only
-pairs that share every paragraph can be near repeats, and they are verified by
-their exact distance in double precision. Paragraphs are compared one after
-the other, each only where all before it were shared.
+vector, turned by a fixed rotation so that no quarter is constant in all data;
+a paragraph's hash is that of its cell in a fine grid. The bucket is the hash
+of the collection and of a coarse grid cell of the first paragraph's leading
+components. History holds each record once, in its own bucket, with its
+hashes. A new record looks into every bucket, and asks for every paragraph
+hash, whose cell the ball of the near radius around it touches; so the join
+and the semi-joins on paragraphs, all local to a bucket, miss nothing.
+
+The share of a history record's paragraphs that a new one asks for is its
+coverage. Near repeats have full coverage; those that have it, and full
+copies, are verified by their exact distance in double precision. Then the
+batch's hashes are appended.
 
 Above some power of two (2**20 for the radius 0.05) neighbouring float32
 values are farther apart than the near radius, so near vectors have all such
-components in common: these, exactly, make the bucket of a vector with any.
+components in common: these, exactly, make the bucket of a vector with any,
+and its paragraphs are all alike.
 
 Buckets above ``CHUNK`` records are cut into parts by hash on the history's
 side; new records look into all parts.
@@ -38,11 +40,13 @@ PARAGRAPHS = 4
 NEAR = 0.0025
 #: Components that make up the bucket, and their grid's width.
 GRID, WIDTH = 6, 1.0
+#: Width of the grid that paragraphs are hashed in.
+FINE = 0.25
 CHUNK = 32768
 #: File buckets of the stored history.
 FILES = 64
 
-HASHED = "bucket bigint, part int, side int, id bigint, content bigint, vec binary"
+HASHED = "bucket bigint, part int, side int, id bigint, content bigint, paragraphs array<bigint>, vec binary"
 
 
 def _mix(h: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -55,31 +59,59 @@ def _buckets(h: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return h
 
 
-def _probes(h: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def _probes(h: np.ndarray, y: np.ndarray, radius: float, width: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of all grid cells that the ball around a row touches."""
     row, cost = np.arange(len(y)), np.zeros(len(y))
     limit = radius * radius * (1 + 1e-6) + 1e-12
     for j in range(y.shape[1]):
-        u = y[row, j] / WIDTH
+        u = y[row, j] / width
         cell = np.floor(u)
         rows, costs, hashes = [], [], []
         blur = 1e-6  # more than the rounding of the rotation
         for step, gap in ((0, np.zeros(len(u))), (-1, np.maximum(u - cell - blur, 0)), (1, np.maximum(1 - u + cell - blur, 0))):
-            c = cost + (gap * WIDTH) ** 2
+            c = cost + (gap * width) ** 2
             t = np.flatnonzero(c <= limit)
             rows.append(row[t]), costs.append(c[t]), hashes.append(_mix(h[t], cell[t].astype(np.int64) + step))
         row, cost, h = np.concatenate(rows), np.concatenate(costs), np.concatenate(hashes)
     return row, h
 
 
+def _large(x: np.ndarray, radius: float) -> np.ndarray:
+    return np.abs(x) >= 2.0 ** (np.floor(np.log2(radius * 2**24)) + 1)
+
+
+def _quarters(dim: int) -> list[slice]:
+    width = dim // PARAGRAPHS
+    return [slice(k * width, dim if k == PARAGRAPHS - 1 else (k + 1) * width) for k in range(PARAGRAPHS)]
+
+
+def paragraphs(x: np.ndarray, radius: float) -> np.ndarray:
+    """Hashes of the paragraphs, one column for each."""
+    out = np.zeros((len(x), PARAGRAPHS), np.int64)
+    plain = np.flatnonzero(~_large(x, radius).any(1))
+    y = np.floor(_turned(x[plain]) / FINE).astype(np.int64)
+    for p, part in enumerate(_quarters(x.shape[1])):
+        out[plain, p] = _buckets(np.full(len(plain), p, np.uint64), y[:, part]).view(np.int64)
+    return out
+
+
+def asked(x: np.ndarray, radius: float, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): every hash that paragraph ``p`` of a near vector can have."""
+    large = _large(x, radius).any(1)
+    plain = np.flatnonzero(~large)
+    row, h = _probes(np.full(len(plain), p, np.uint64), _turned(x[plain])[:, _quarters(x.shape[1])[p]], radius, FINE)
+    out = np.flatnonzero(large)
+    return np.r_[plain[row], out], np.r_[h.view(np.int64), np.zeros(len(out), np.int64)]
+
+
 def _place(start: np.ndarray, x: np.ndarray, side: int, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket): the own bucket of side 0, all touched ones of side 1."""
-    large = np.abs(x) >= 2.0 ** (np.floor(np.log2(radius * 2**24)) + 1)
+    large = _large(x, radius)
     out = np.flatnonzero(large.any(1))
     plain = np.flatnonzero(~large.any(1))
     y = _turned(x[plain])[:, :GRID]
     if side:
-        row, h = _probes(start[plain], y, radius)
+        row, h = _probes(start[plain], y, radius, WIDTH)
     else:
         row, h = np.arange(len(plain)), _buckets(start[plain], np.floor(y / WIDTH).astype(np.int64))
     bits = np.where(large[out], x[out], np.float32(0)).astype(np.float32).view(np.int32).astype(np.int64)
@@ -104,6 +136,7 @@ def hashed(records: DataFrame, side: int, radius: float, parts: dict[int, int] |
             ids, base, content, x = ints(batch.column(0)), ints(batch.column(1)), ints(batch.column(2)), matrix(batch.column(3))
             row, h = _place(base.astype(np.int64).view(np.uint64), x, side, radius)
             bucket = h.view(np.int64)
+            hashes = None if side or counted else paragraphs(x, radius)
             part = np.zeros(len(row), np.int32)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)
@@ -120,7 +153,7 @@ def hashed(records: DataFrame, side: int, radius: float, parts: dict[int, int] |
                 if counted:
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[t])], names=["bucket"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[t]), pa.array(part[t]), pa.array(np.full(len(r), side, np.int32)), pa.array(ids[r]), pa.array(content[r]), packed(x[r])], names=["bucket", "part", "side", "id", "content", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[t]), pa.array(part[t]), pa.array(np.full(len(r), side, np.int32)), pa.array(ids[r]), pa.array(content[r]), pa.array([None] * len(r), pa.list_(pa.int64())) if side else _lists(hashes[r]), packed(x[r])], names=["bucket", "part", "side", "id", "content", "paragraphs", "vec"])
 
     rows = records.select(F.col("id").cast("bigint"), F.xxhash64("collection").alias("b"), F.xxhash64("collection", "vector").alias("h"), "vector")
     return rows.mapInArrow(run, "bucket bigint" if counted else HASHED)
@@ -138,43 +171,51 @@ def hot_buckets(records: DataFrame, radius: float, chunk: int = CHUNK, sample_ro
     return {r[0]: int(-(-r[1] * (scale / keep) // chunk)) for r in counts.collect()}
 
 
-def compare(ids, content, x, ids2, content2, x2, near: float):
-    """(row of the new, row of the old, shared paragraphs' coverage 1,
-    distance) within a bucket: old rows of smaller id at most ``near`` apart."""
-    a, b = _turned(x), _turned(x2)
-    mid = np.median(b, axis=0)
-    a, b = (a - mid).astype(np.float32), (b - mid).astype(np.float32)
-    width = a.shape[1] // PARAGRAPHS
-    step = max(16, (1 << 21) // max(1, len(b)))
-    paragraphs = [slice(k * width, None if k == PARAGRAPHS - 1 else (k + 1) * width) for k in range(PARAGRAPHS)]
-    head = paragraphs[1]  # the bucket already agrees on the first one
-    sq_b = (b[:, head] ** 2).sum(1)
-    whole = 1e-4 + 4e-6 * (b * b).sum(1)
-    for s in range(0, len(a), step):
-        q = a[s : s + step]
-        d = q[:, head] @ b[:, head].T
-        d *= -2
-        d += sq_b[None]
-        d -= whole[None]
-        sure = near + 1e-4 + 4e-6 * (q * q).sum(1) - (q[:, head] ** 2).sum(1)
-        i, j = np.nonzero(d <= sure[:, None])
-        ok = ids2[j] < ids[s + i]
-        i, j = i[ok], j[ok]
-        copy = content[s + i] == content2[j]
-        for p in paragraphs:
-            if not len(i):
-                break
-            gap = (q[i, p] - b[j, p]).astype(np.float64)
-            ok = copy | (np.einsum("ij,ij->i", gap, gap) <= near + 1e-4 + 4e-6 * ((q[i] ** 2).sum(1) + (b[j] ** 2).sum(1)))
-            i, j, copy = i[ok], j[ok], copy[ok]
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def compare(ids, content, x, ids2, content2, hashes2, x2, near: float):
+    """(row of the new, row of the old, distance, full copy) within a bucket:
+    old rows of smaller id at most ``near`` apart."""
+    radius = float(np.sqrt(near))
+    known = [np.unique(hashes2[:, p], return_inverse=True) for p in range(PARAGRAPHS)]
+    step = max(16, (1 << 20) // max(1, len(x2)))
+    for s in range(0, len(x), step):
+        b = min(step, len(x) - s)
+        if s % (step * 64) == 0:  # the hashes that the next 64 blocks ask for
+            calls = []
+            for p, (have, _) in enumerate(known):
+                row, h = asked(x[s : s + step * 64], radius, p)
+                at = np.minimum(np.searchsorted(have, h), len(have) - 1)
+                ok = have[at] == h
+                row, at = row[ok] + s, at[ok]
+                order = np.argsort(row, kind="stable")
+                calls.append((row[order], at[order]))
+        wanted = []
+        for (have, _), (row, at) in zip(known, calls):
+            t = slice(*np.searchsorted(row, (s, s + b)))
+            w = np.zeros((b, len(have)), bool)
+            w[row[t] - s, at[t]] = True
+            wanted.append(w)
+        # the most selective paragraph opens, the others are asked for what is left
+        order = sorted(range(PARAGRAPHS), key=lambda p: -len(known[p][0]))
+        at = np.flatnonzero(wanted[order[0]][:, known[order[0]][1]])
+        i, j = at // len(x2), at % len(x2)
+        covered = ids2[j] < ids[s + i]
+        for p in order[1:]:
+            i, j = i[covered], j[covered]
+            covered = wanted[p][i, known[p][1][j]]
+        i, j = i[covered], j[covered]
         d = exact_pairs(x, x2, s + i, j)
         ok = d <= near
-        yield s + i[ok], j[ok], d[ok]
+        i, j = s + i[ok], j[ok]
+        yield i, j, d[ok], content[i] == content2[j]
 
 
 def repeats(table: DataFrame, near: float = NEAR) -> DataFrame:
     """The bucket-local join of a bucketed table's sides: (id_a, id_b,
-    distance), id_a of side 0, id_b of side 1, id_a < id_b."""
+    distance, full_copy), id_a of side 0, id_b of side 1, id_a < id_b."""
 
     def run(batches):
         for _, rows in sorted_groups(batches, 2):
@@ -182,17 +223,18 @@ def repeats(table: DataFrame, near: float = NEAR) -> DataFrame:
             new, old = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
             if not len(new) or not len(old):
                 continue
-            ids, content, x = ints(rows.column(3)), ints(rows.column(4)), matrix(rows.column(5))
-            for i, j, d in compare(ids[new], content[new], x[new], ids[old], content[old], x[old], near):
+            ids, content, x = ints(rows.column(3)), ints(rows.column(4)), matrix(rows.column(6))
+            hashes = matrix(rows.column(5).take(pa.array(old)), np.int64)
+            for i, j, d, copy in compare(ids[new], content[new], x[new], ids[old], content[old], hashes, x[old], near):
                 for s in range(0, len(i), 65536):
                     t = slice(s, s + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[old[j[t]]]), pa.array(ids[new[i[t]]]), pa.array(d[t])], names=["id_a", "id_b", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[old[j[t]]]), pa.array(ids[new[i[t]]]), pa.array(d[t]), pa.array(copy[t])], names=["id_a", "id_b", "distance", "full_copy"])
 
-    return table.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, "id_a bigint, id_b bigint, distance double")
+    return table.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, "id_a bigint, id_b bigint, distance double, full_copy boolean")
 
 
 def near_repeats(history: DataFrame, new: DataFrame, near: float = NEAR, chunk: int = CHUNK) -> DataFrame:
-    """(id_a, id_b, distance): every new record id_b with each record of
+    """(id_a, id_b, distance, full_copy): every new record id_b with each record of
     smaller id, in the history or among the new ones, at most ``near`` apart in
     squared distance within its collection. Inputs: (id, collection, vector),
     usable vectors only. A record delivered twice counts once; an empty side
@@ -220,7 +262,7 @@ class History:
         return F.pmod(F.col("bucket"), F.lit(FILES)).cast("int")
 
     def check(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """(id_a, id_b, distance) of the batch's records against earlier
+        """(id_a, id_b, distance, full_copy) of the batch's records against earlier
         batches and, by id, within the batch; then append."""
         own = hashed(batch, 0, self.radius).withColumn("file", self._file()).withColumn("batch", F.lit(batch_id).cast("bigint"))
         asked = hashed(batch, 1, self.radius)
