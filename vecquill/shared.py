@@ -37,7 +37,24 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/vq-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vecquill_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` returned, once all that is built on
+    them has been materialised itself."""
+    for df in tables:
+        entry = (df.sparkSession, df._vecquill_path)
+        _written[:] = [w for w in _written if w[1] != entry[1]]
+        _delete(*entry)
 
 
 def release() -> None:
@@ -46,9 +63,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
 
