@@ -175,31 +175,35 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
-def compare(ids, content, x, ids2, content2, hashes2, x2, near: float):
+def calls(x: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``asked`` for every paragraph, sorted by row."""
+    out = []
+    for p in range(PARAGRAPHS):
+        row, h = asked(x, radius, p)
+        order = np.argsort(row, kind="stable")
+        out.append((row[order], h[order]))
+    return out
+
+
+def compare(first: int, called: list, ids, content, x, ids2, content2, hashes2, x2, near: float):
     """(row of the new, row of the old, distance, full copy) within a bucket:
-    old rows of smaller id at most ``near`` apart."""
-    radius = float(np.sqrt(near))
+    old rows of smaller id at most ``near`` apart. ``called`` holds the hashes
+    that the new rows ask for, numbered from ``first``."""
     known = [np.unique(hashes2[:, p], return_inverse=True) for p in range(PARAGRAPHS)]
+    # the most selective paragraph opens, the others are asked for what is left
+    order = sorted(range(PARAGRAPHS), key=lambda p: -len(known[p][0]))
     step = max(16, (1 << 20) // max(1, len(x2)))
     for s in range(0, len(x), step):
         b = min(step, len(x) - s)
-        if s % (step * 64) == 0:  # the hashes that the next 64 blocks ask for
-            calls = []
-            for p, (have, _) in enumerate(known):
-                row, h = asked(x[s : s + step * 64], radius, p)
-                at = np.minimum(np.searchsorted(have, h), len(have) - 1)
-                ok = have[at] == h
-                row, at = row[ok] + s, at[ok]
-                order = np.argsort(row, kind="stable")
-                calls.append((row[order], at[order]))
+        # which of the old paragraphs' hashes each new row asks for
         wanted = []
-        for (have, _), (row, at) in zip(known, calls):
-            t = slice(*np.searchsorted(row, (s, s + b)))
+        for (have, _), (row, h) in zip(known, called):
+            t = slice(*np.searchsorted(row, (first + s, first + s + b)))
+            at = np.minimum(np.searchsorted(have, h[t]), len(have) - 1)
+            ok = have[at] == h[t]
             w = np.zeros((b, len(have)), bool)
-            w[row[t] - s, at[t]] = True
+            w[row[t][ok] - first - s, at[ok]] = True
             wanted.append(w)
-        # the most selective paragraph opens, the others are asked for what is left
-        order = sorted(range(PARAGRAPHS), key=lambda p: -len(known[p][0]))
         at = np.flatnonzero(wanted[order[0]][:, known[order[0]][1]])
         i, j = at // len(x2), at % len(x2)
         covered = ids2[j] < ids[s + i]
@@ -216,8 +220,18 @@ def compare(ids, content, x, ids2, content2, hashes2, x2, near: float):
 def repeats(table: DataFrame, near: float = NEAR) -> DataFrame:
     """The bucket-local join of a bucketed table's sides: (id_a, id_b,
     distance, full_copy), id_a of side 0, id_b of side 1, id_a < id_b."""
+    radius = float(np.sqrt(near))
 
-    def run(batches):
+    def settle(held):
+        """Buckets side by side: one call for all their new rows' hashes."""
+        called = calls(np.concatenate([g[2] for g in held]), radius)
+        first = 0
+        for ids, content, x, *old in held:
+            yield from ((ids[i], old[0][j], d, copy) for i, j, d, copy in compare(first, called, ids, content, x, *old, near))
+            first += len(x)
+
+    def waves(batches):
+        held, n, size = [], 0, 0
         for _, rows in sorted_groups(batches, 2):
             side = ints(rows.column(2))
             new, old = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
@@ -225,10 +239,21 @@ def repeats(table: DataFrame, near: float = NEAR) -> DataFrame:
                 continue
             ids, content, x = ints(rows.column(3)), ints(rows.column(4)), matrix(rows.column(6))
             hashes = matrix(rows.column(5).take(pa.array(old)), np.int64)
-            for i, j, d, copy in compare(ids[new], content[new], x[new], ids[old], content[old], hashes, x[old], near):
-                for s in range(0, len(i), 65536):
-                    t = slice(s, s + 65536)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[old[j[t]]]), pa.array(ids[new[i[t]]]), pa.array(d[t]), pa.array(copy[t])], names=["id_a", "id_b", "distance", "full_copy"])
+            for s in range(0, len(new), 8192):
+                t = new[s : s + 8192]
+                held.append((ids[t], content[t], x[t], ids[old], content[old], hashes, x[old]))
+                n, size = n + len(t), size + len(old)
+                if n >= 8192 or size >= 4 * CHUNK:
+                    yield from settle(held)
+                    held, n, size = [], 0, 0
+        if held:
+            yield from settle(held)
+
+    def run(batches):
+        for new, old, d, copy in waves(batches):
+            for s in range(0, len(new), 65536):
+                t = slice(s, s + 65536)
+                yield pa.RecordBatch.from_arrays([pa.array(old[t]), pa.array(new[t]), pa.array(d[t]), pa.array(copy[t])], names=["id_a", "id_b", "distance", "full_copy"])
 
     return table.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, "id_a bigint, id_b bigint, distance double, full_copy boolean")
 
