@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ints, materialise
+from ..shared import discard, ints, materialise
 from .vectors import mixed
 
 SLOTS = 4
@@ -193,7 +193,8 @@ def events(requests: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 def suspected(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> DataFrame:
-    """(req_id, pos, key) of the events that the tables call seen.
+    """(req_id, pos, key) of the events that the tables call seen, each once,
+    as a table written to the shared folder.
 
     Before the events move, each batch is reduced: an adding event that has an
     earlier adding event of its key in the same batch is seen for certain and
@@ -243,7 +244,9 @@ def suspected(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> Data
     open_ = reduced.where(~F.col("certain")).select("req_id", "pos", "is_add", "key")
     # all but the lowest bits choose the partition, the tables use a different mix of the hash
     asked = open_.repartition(parts, F.xxhash64("key", F.lit(5))).sortWithinPartitions("req_id", "pos").mapInArrow(replay, "req_id bigint, pos bigint, key bigint")
-    return asked.unionByName(reduced.where("certain").select("req_id", "pos", "key"))
+    found = materialise(asked.unionByName(reduced.where("certain").select("req_id", "pos", "key")).distinct())
+    discard(reduced)
+    return found
 
 
 def checked(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> DataFrame:
@@ -253,7 +256,7 @@ def checked(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> DataFr
     First arrivals are pre-aggregated per key hash. A hash with more than one
     key among all its events is settled by the keys themselves.
     """
-    found = materialise(suspected(requests, deletes, keys).distinct())
+    found = suspected(requests, deletes, keys)
     rows = events(requests, deletes)
     asked = found.select("key").distinct()
     text = F.concat_ws("\x00", F.length("name").cast("string"), "name", "ext")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ints, materialise, matrix, packed, sorted_groups
+from ..shared import discard, ints, materialise, matrix, packed, sorted_groups
 from .vectors import squared
 
 #: Records that one greedy selection takes from at once.
@@ -126,8 +126,11 @@ def _chosen(base: DataFrame, k: int, block: int) -> DataFrame:
         if most <= block:
             break
         # each group selects k of `block` rows, so a level shrinks the pool by block / k
-        pool = materialise(level(pool, F.pmod(F.xxhash64("id"), F.lit(-(-most // (block // 2))))))
-    return materialise(level(pool, F.lit(0)))
+        old, pool = pool, materialise(level(pool, F.pmod(F.xxhash64("id"), F.lit(-(-most // (block // 2))))))
+        discard(old)
+    chosen = materialise(level(pool, F.lit(0)))
+    discard(pool)
+    return chosen
 
 
 def _assigned(base: DataFrame, chosen: DataFrame, at_once: int = 65536) -> DataFrame:

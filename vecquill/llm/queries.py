@@ -36,9 +36,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each near repeat with its distance; 0 marks a full copy."""
+    """Each near repeat with its distance, and whether it is a full copy."""
     old = requests(spark, sf_dir).select(F.col("req_id").alias("id"), F.col("index_name").alias("collection"), "vector")
-    return history.near_repeats(old, items(spark, sf_dir))
+    return history.near_repeats(old, items(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,4 +158,21 @@ g AS (SELECT DISTINCT kind, id, array_to_string(list_slice(w, i, i + 9), ' ') AS
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i USING (g) WHERE d.kind = 'd' AND i.kind = 'i'""",
     "p8_found": """WITH g AS (SELECT DISTINCT doc_id, substring(text, i, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id""",
+    "p2_repeats": f"""WITH u AS ({_USABLE}), i AS ({_ITEMS}), w AS (SELECT * FROM u UNION ALL SELECT * FROM i),
+p AS (SELECT a.id AS id_a, b.id AS id_b, list_sum(list_transform(range(1, 33), lambda k: (a.v[k]::DOUBLE - b.v[k]::DOUBLE) * (a.v[k]::DOUBLE - b.v[k]::DOUBLE))) AS d
+FROM w a JOIN i b ON a.c = b.c AND a.id < b.id AND {_NEAR} <= 0.06)
+SELECT id_a, id_b, round(d, 6) AS distance, d = 0 AS full_copy FROM p WHERE d <= 0.0025""",
+    "p5_results": f"""WITH u AS ({_USABLE}),
+d AS (SELECT a.id AS x, b.id AS y, list_sum(list_transform(range(1, 33), lambda k: (a.v[k]::DOUBLE - b.v[k]::DOUBLE) * (a.v[k]::DOUBLE - b.v[k]::DOUBLE))) AS d
+FROM u a JOIN u b ON a.c = b.c AND a.id <> b.id AND {_NEAR} <= 1.0001),
+n AS (SELECT x, y, d, row_number() OVER (PARTITION BY x ORDER BY d, y) - 1 AS rank FROM d WHERE d <= 1.0),
+e AS (SELECT req_id, any_value(external_id) AS external_id FROM ingest_requests GROUP BY req_id)
+SELECT x AS req_id, rank, y AS neighbour_id, external_id, round(d, 6) AS distance FROM n JOIN e ON e.req_id = y WHERE rank < 5""",
+    "p8_amounts": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+g AS (SELECT doc_id, i, substring(text, i, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM t)),
+s AS (SELECT g FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g JOIN s USING (g)),
+a AS (SELECT doc_id, sum(least(200, coalesce(n - i, 200)))::BIGINT AS shared_chars FROM c GROUP BY doc_id),
+k AS (SELECT text, (count(*) - 1)::BIGINT AS copies FROM t GROUP BY text)
+SELECT doc_id, length(text)::BIGINT AS n_chars, shared_chars, copies FROM a JOIN t USING (doc_id) JOIN k USING (text)""",
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import ints, materialise, sorted_groups
+from ..shared import discard, ints, materialise, sorted_groups
 from .texts import code_points, joined, ranges, slices, spread, windows
 
 FIRST, SPAN = 50, 200
@@ -167,10 +167,11 @@ class Shared:
         keyed = rows.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("text_key"))
         self.members = keyed.select("doc_id", "text_key").distinct()
         anchors = materialise(keyed.select("text_key", "text").mapInArrow(_anchors, _ANCHOR))
-        alive = anchors.join(_repeated(anchors, ["h"]), "h").distinct()
-        alive = materialise(alive)
-        sides = alive.select("text_key", "pos", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left100").alias("w")), F.struct(F.lit(1).alias("side"), F.col("right100").alias("w")))).alias("s")).select("text_key", "pos", "h", "s.side", "s.w").where("w <> 0")
+        once = materialise(anchors.join(_repeated(anchors, ["h"]), "h").distinct())
+        discard(anchors)
+        sides = once.select("text_key", "pos", "h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left100").alias("w")), F.struct(F.lit(1).alias("side"), F.col("right100").alias("w")))).alias("s")).select("text_key", "pos", "h", "s.side", "s.w").where("w <> 0")
         alive = materialise(sides.join(_repeated(sides, ["side", "w"]), ["side", "w"]).select("text_key", "pos", "h").distinct())
+        discard(once)
         places = alive.groupBy("text_key").agg(F.collect_list(F.struct("pos", "h")).alias("p")).select("text_key", F.col("p.pos").alias("pos"), F.col("p.h").alias("h"))
         # one copy of each text that has survivors
         if alive.count() * 16 <= BROADCAST:
@@ -180,6 +181,7 @@ class Shared:
         contexts = found.select("text_key", "text", "pos", "h").mapInArrow(_contexts, "h bigint, text_key bigint, pos int, before string, after string")
         contexts = contexts.where(F.length("before") + F.length("after") >= SPAN).withColumn("around", F.xxhash64("h", "before", "after"))
         self.contexts = materialise(contexts.dropDuplicates(["text_key", "pos"]))
+        discard(alive)
         kinds = self.contexts.groupBy("h", "around").agg(F.first("before").alias("before"), F.first("after").alias("after"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.max(F.length("before")).alias("back"), F.max(F.length("after")).alias("ahead"))
         self.kinds = materialise(kinds)
         counts = self.kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
