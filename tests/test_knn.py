@@ -52,8 +52,9 @@ def test_errors_and_empty(spark, data):
         knn(x, q, 0)
     with pytest.raises(RuntimeError, match="Dim mismatch"):
         knn(x, frame(spark, data[:2, :3], "qid bigint, q array<float>"), 1)
-    with pytest.raises(RuntimeError, match="2-D"):
-        knn(x.unionByName(frame(spark, data[:1, :3])), q, 1)
+    with pytest.raises(Exception, match="2-D"):
+        knn(x.unionByName(frame(spark, data[:1, :3])), q, 1).count()
+    assert knn_within(x.selectExpr("*", "1 as g"), q.selectExpr("*", "1 as g").limit(0), "g", 1).count() == 0
     assert knn(x.limit(0), q, 3).count() == 0
     assert knn(x, q.limit(0), 3).count() == 0
     # null vectors take no part, clashing columns do no harm

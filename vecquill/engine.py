@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.checks import ROWS, bad_rows, check_vector, repeated_ids
+from .functions.checks import ROWS, bad_reason, check_vector, repeated_ids
 from .operators.knn import knn, nearest_one
 from .plans.store import Conflict, Manifest, Store
 
@@ -247,8 +247,7 @@ class VectorEngine:
                 numbered = rows.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("pos", F.monotonically_increasing_id())
                 numbered.write.parquet(folder)
                 new = self.spark.read.schema(SEGMENT).parquet(folder)
-                n = new.count()
-                self._validate(new, n, mode, checked)
+                n = self._validate(new, mode, checked)
                 if mode == "build":
                     m.main, m.delta, m.main_dead, m.delta_dead = [[folder, seq]], [], [], []
                     m.main_rows, m.delta_rows, m.main_deletes, m.delta_deletes = n, 0, 0, 0
@@ -276,18 +275,20 @@ class VectorEngine:
 
         self._change(step)
 
-    def _validate(self, new: DataFrame, n: int, mode: str, checked: bool) -> None:
-        if not n:
-            if mode == "build":
-                raise RuntimeError("fit: empty dataset")
-            return
-        if not checked:
-            bad = bad_rows(new, self.dim).limit(1).collect()
-            if bad:
-                raise RuntimeError("ingest: dimension mismatch" if bad[0].reason == "dimension mismatch" else f"ingest: vector contains {bad[0].reason}" if bad[0].reason == "NaN/Inf" else "ingest: missing id")
-        twice = repeated_ids(new).limit(1).collect()
+    def _validate(self, new: DataFrame, mode: str, checked: bool) -> int:
+        """The number of rows, or the error that they deserve."""
+        if checked:
+            n, reason = new.count(), None
+        else:
+            n, reason = new.agg(F.count(F.lit(1)), F.min(bad_reason(self.dim))).first()
+        if not n and mode == "build":
+            raise RuntimeError("fit: empty dataset")
+        if reason:
+            raise RuntimeError("ingest: dimension mismatch" if reason == "dimension mismatch" else f"ingest: vector contains {reason}" if reason == "NaN/Inf" else "ingest: missing id")
+        twice = repeated_ids(new).limit(1).collect() if n else []
         if twice:
             raise RuntimeError(f"duplicate external id: {twice[0].external_id}")
+        return n
 
     def _refuse_live(self, m: Manifest, new: DataFrame) -> None:
         live = self._live(m, "main").select("external_id").unionByName(self._live(m, "delta").select("external_id"))

@@ -27,10 +27,14 @@ def valid(vec: str, dim: int) -> Column:
     return F.coalesce(F.col(vec).isNotNull() & has_dim(vec, dim) & in_range(vec), F.lit(False))
 
 
+def bad_reason(dim: int) -> Column:
+    """Why ingest refuses a row (external_id, vec); null if it doesn't."""
+    return F.when(F.col("external_id").isNull(), "missing id").when(F.col("vec").isNull() | (F.size("vec") != dim), "dimension mismatch").when(~F.coalesce(in_range("vec"), F.lit(False)), "NaN/Inf")
+
+
 def bad_rows(df: DataFrame, dim: int) -> DataFrame:
     """Rows that ingest refuses, with the reason."""
-    reason = F.when(F.col("external_id").isNull(), "missing id").when(F.col("vec").isNull() | (F.size("vec") != dim), "dimension mismatch").when(~F.coalesce(in_range("vec"), F.lit(False)), "NaN/Inf")
-    return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return df.withColumn("reason", bad_reason(dim)).where(F.col("reason").isNotNull())
 
 
 def repeated_ids(df: DataFrame, *ids: str) -> DataFrame:

@@ -80,11 +80,15 @@ def _check_k(k: int) -> None:
 
 
 def _dim(df: DataFrame, vec: str) -> int | None:
-    """The common length of the vectors; None without rows."""
-    low, high = df.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
-    if low is not None and low != high:
-        raise RuntimeError("X and Q must be 2-D float32")
-    return low
+    """The length of some vector; None without rows. Reads one row."""
+    row = df.select(F.size(vec)).first()
+    return row[0] if row else None
+
+
+def _of_dim(vec: str, dim: int, message: str):
+    """The column, with an error at the first vector of another length. It is
+    part of the scan, so no extra pass over the data is needed."""
+    return F.when(F.size(vec) == dim, F.col(vec)).otherwise(F.raise_error(F.lit(message)).cast("array<float>"))
 
 
 def knn(x: DataFrame, q: DataFrame, k: int, idx: str = "idx", vec: str = "vec", qid: str = "qid", query: str = "q", itself: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -92,9 +96,9 @@ def knn(x: DataFrame, q: DataFrame, k: int, idx: str = "idx", vec: str = "vec",
     rank from 0; fewer where ``x`` is smaller. With ``itself`` false, a row is
     no neighbour of the query with its own id.
 
-    No rows on either side give no result. Vectors must have one length, else
-    RuntimeError; vectors that are null are left out. Columns other than the
-    four named are ignored.
+    No rows on either side give no result. Sides of different length are a
+    RuntimeError; should lengths differ within a side, the job fails. Vectors
+    that are null are left out. Columns other than the four named are ignored.
     """
     _check_k(k)
     x = x.select(F.col(idx).cast("bigint").alias("i"), F.col(vec).cast("array<float>").alias("v")).where("v is not null")
@@ -105,6 +109,7 @@ def knn(x: DataFrame, q: DataFrame, k: int, idx: str = "idx", vec: str = "vec",
         return spark.createDataFrame([], "qid bigint, rank bigint, idx bigint, dist double")
     if dx != dq:
         raise RuntimeError("Dim mismatch between X and Q")
+    x, q = (df.withColumn("v", _of_dim("v", dq, "X and Q must be 2-D float32")) for df in (x, q))
     blocks = max(1, -(-q.count() * dq * 4 // block_bytes))
     found: list[DataFrame] = []
     out: DataFrame | None = None
@@ -143,10 +148,15 @@ def knn(x: DataFrame, q: DataFrame, k: int, idx: str = "idx", vec: str = "vec",
 def knn_within(x: DataFrame, q: DataFrame, group: str, k: int, idx: str = "idx", vec: str = "vec", qid: str = "qid", query: str = "q", block_rows: int = 65536) -> DataFrame:
     """(qid, idx, dist): the ``k`` nearest rows of each query's own group, as
     many as there are. Queries are broadcast in blocks of about
-    ``block_rows``; rows stay where they are. Null groups match nothing."""
+    ``block_rows``; rows stay where they are. Null groups match nothing, null
+    vectors are left out, vectors of unequal length make the job fail."""
     _check_k(k)
     x = x.select(F.col(group).alias("g"), F.col(idx).cast("bigint").alias("i"), F.col(vec).cast("array<float>").alias("v")).where("v is not null and g is not null")
     q = q.select(F.col(group).alias("g"), F.col(qid).cast("bigint").alias("i"), F.col(query).cast("array<float>").alias("v")).where("v is not null and g is not null").dropDuplicates(["i"])
+    dim = _dim(q, "v")
+    if dim is None:
+        return x.sparkSession.createDataFrame([], _FOUND)
+    x, q = (df.withColumn("v", _of_dim("v", dim, "Dim mismatch between X and Q")) for df in (x, q))
     blocks = max(1, -(-q.count() // block_rows))
     out = None
     for b in range(blocks):
