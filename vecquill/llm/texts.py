@@ -66,7 +66,7 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - counts, counts)
 
 
-def slices(batch: pa.RecordBatch, column: int, letters: int = 1 << 21):
+def slices(batch: pa.RecordBatch, column: int, letters: int = 1 << 19):
     """Parts of a batch with about ``letters`` bytes of text each, at least
     one row."""
     sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
