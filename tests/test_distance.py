@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecquill import dot, dot_value, l2_sqr, l2_sqr_value
+from vecquill import dot, dot_batch, dot_mat_vec, dot_value, l2_sqr, l2_sqr_batch, l2_sqr_mat_vec, l2_sqr_value
 from vecquill.functions.checks import bad_rows, repeated_ids
 
 floats = st.floats(-1e3, 1e3, width=32)
@@ -45,3 +45,12 @@ def test_bad_rows(spark):
 def test_repeated(spark):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "external_id string")
     assert [tuple(r) for r in repeated_ids(df).collect()] == [("a", 2)]
+
+
+def test_matrices():
+    a, b = np.arange(6.0).reshape(2, 3), np.ones((2, 3))
+    assert l2_sqr_batch(a, b).tolist() == [2.0, 29.0] and dot_batch(a, b).tolist() == [3.0, 12.0]
+    assert l2_sqr_mat_vec(a, b[0]).tolist() == [2.0, 29.0] and dot_mat_vec(a, b[0]).tolist() == [3.0, 12.0]
+    for call in (lambda: l2_sqr_batch(a, b[:1]), lambda: dot_mat_vec(a, b), lambda: l2_sqr_mat_vec(a, b[0, :2])):
+        with pytest.raises(RuntimeError):
+            call()

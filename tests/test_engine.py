@@ -357,3 +357,20 @@ def test_stream(spark, tmp_path, path):
     e.write(spark.createDataFrame([("z", X[9].tolist())], "external_id string, vec array<float>"), stream=("upserts", 1))  # a replay
     assert e.version == version and e.live_count() == 3
     assert last_per_id(spark.createDataFrame([], schema), "at").count() == 0
+
+
+def test_internal_numbers(spark, path):
+    e = VectorEngine(spark, path, DIM)
+    e.write(spark.createDataFrame([(f"id{i:03}", X[i].tolist()) for i in range(50)], "external_id string, vec array<float>").repartition(4), "build")
+    rows = e.internal().orderBy("idx").collect()
+    assert [r.idx for r in rows] == list(range(50)) and {r.external_id for r in rows} == {f"id{i:03}" for i in range(50)}
+    order = [r.external_id for r in e.rows().orderBy("seq", "pos").collect()]
+    e.delete_items(order[:3])
+    assert e.map_internal_to_external([49, 0, 0]) == [order[49], order[0], order[0]] and e.map_internal_to_external([]) == []
+    with pytest.raises(IndexError):
+        e.map_internal_to_external([50])
+
+
+def test_json_answers(spark):
+    found = spark.createDataFrame([(1, 1, "b\""), (1, 0, "a"), (2, 0, "é")], "qid bigint, rank bigint, external_id string")
+    assert dict(files.answers_json(found).collect()) == {1: '["a","b\\""]', 2: '["é"]'}

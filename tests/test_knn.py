@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from vecquill import all_knn, knn
+from vecquill import all_knn, all_knn_batch, brute_knn_batch, knn
 from vecquill.operators import ann
 from vecquill.operators.knn import knn_within, nearest_one
 
@@ -99,3 +99,15 @@ def test_cells_recall_and_pruning(spark, tmp_path):
     found = ann.hashed(frame(spark, x), q, 10, 40.0)
     pairs = {(r.qid, r.idx) for r in found.collect()}
     assert len(pairs & {(a, c) for a, _, c in exact}) >= 0.9 * len(exact)
+
+
+def test_arrays(data):
+    idx, dist = brute_knn_batch(data, data[:9], 7)
+    assert [(i, r, int(j)) for i, row in enumerate(idx) for r, j in enumerate(row)] == truth(data, data[:9], 7)
+    assert idx.dtype == np.int32 and dist.dtype == np.float32 and (dist[:, 0] == 0).all()
+    assert [(i, r, int(j)) for i, row in enumerate(all_knn_batch(data, 3)) for r, j in enumerate(row)] == truth(data, data, 3, itself=False)
+    assert brute_knn_batch(data[:0], data[:2], 3)[0].shape == (2, 0) and brute_knn_batch(data[:2], data[:3], 9)[0].shape == (3, 2)
+    assert all_knn_batch(data[:4], 9).shape == (4, 3) and all_knn_batch(data[:1], 9).shape == (1, 0)
+    for bad, text in (((data[0], data, 1), "2-D"), ((data, data[:, :2], 1), "Dim mismatch"), ((data, data, 0), "k must")):
+        with pytest.raises(RuntimeError, match=text):
+            brute_knn_batch(*bad)

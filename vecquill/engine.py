@@ -147,6 +147,32 @@ class VectorEngine:
         found = knn(keyed, queries, k, "idx", "vec", qid, query)
         return found.join(keyed.select("idx", "external_id"), "idx").select("qid", "rank", "external_id", F.col("dist").alias("distance"))
 
+    def internal(self, kind: str = "main", version: int | None = None) -> DataFrame:
+        """(idx, external_id) of a segment, dead rows included, numbered from 0
+        in the order of arrival. Only the number of rows of each written task
+        is collected, to know where its numbers begin."""
+        rows = self._segment(self._manifest(version), kind)
+        task = F.shiftright("pos", 33)
+        sizes = rows.groupBy("seq", task.alias("task")).agg(F.count(F.lit(1)).alias("n")).orderBy("seq", "task").collect()
+        begin, starts = 0, []
+        for r in sizes:
+            starts.append((r.seq, r.task, begin))
+            begin += r.n
+        table = self.spark.createDataFrame(starts, "seq bigint, task bigint, start bigint")
+        within = F.col("pos") - F.shiftleft(task, 33)
+        return rows.withColumn("task", task).join(table, ["seq", "task"]).select((F.col("start") + within).alias("idx"), "external_id")
+
+    def map_internal_to_external(self, idx: Iterable[int]) -> list[str]:
+        """External ids of row numbers, in the order asked; of main if it has
+        live rows, else of the delta."""
+        asked = [int(i) for i in idx]
+        m = self._manifest()
+        wanted = self.spark.createDataFrame([(i,) for i in set(asked)], "idx bigint")
+        known = dict(self.internal("main" if m.main_rows else "delta").join(wanted, "idx").collect()) if asked else {}
+        if any(i not in known for i in asked):
+            raise IndexError(f"no such row: {next(i for i in asked if i not in known)}")
+        return [known[i] for i in asked]
+
     # counts
 
     @property

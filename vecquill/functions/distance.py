@@ -58,3 +58,33 @@ def l2_sqr_value(a, b) -> float:
 def dot_value(a, b) -> float:
     a, b = _two(a, b)
     return float(a @ b)
+
+
+def _rows(a, b, paired: bool) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.asarray(a, np.float32), np.asarray(b, np.float32)
+    if a.ndim != 2 or b.ndim != (2 if paired else 1):
+        raise RuntimeError("a and b must be 2-D float32 arrays" if paired else "a must be a 2-D and b a 1-D float32 array")
+    if a.shape[1] != b.shape[-1] or paired and len(a) != len(b):
+        raise RuntimeError(_UNEQUAL)
+    return a.astype(np.float64), b.astype(np.float64)
+
+
+def l2_sqr_batch(a, b) -> np.ndarray:
+    """Squared L2 of the paired rows of two matrices on the driver."""
+    a, b = _rows(a, b, True)
+    return ((a - b) ** 2).sum(1)
+
+
+def l2_sqr_mat_vec(a, v) -> np.ndarray:
+    a, v = _rows(a, v, False)
+    return ((a - v) ** 2).sum(1)
+
+
+def dot_batch(a, b) -> np.ndarray:
+    a, b = _rows(a, b, True)
+    return (a * b).sum(1)
+
+
+def dot_mat_vec(a, v) -> np.ndarray:
+    a, v = _rows(a, v, False)
+    return a @ v

@@ -195,3 +195,37 @@ def nearest_one(x: DataFrame, q, k: int, vec: str = "vec", ties: tuple[str, ...]
     """``x`` with its distance from one constant query, the ``k`` nearest in
     order; stays in the JVM and plans as TakeOrderedAndProject."""
     return x.withColumn("dist", l2_sqr(F.col(vec), q)).orderBy("dist", *ties).limit(k)
+
+
+def brute_knn_batch(x, q, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact neighbours of arrays on the driver: (indices, squared distances)
+    of shape (queries, min(k, rows)), by distance, then index."""
+    x, q = np.asarray(x, np.float32), np.asarray(q, np.float32)
+    if x.ndim != 2 or q.ndim != 2:
+        raise RuntimeError("X and Q must be 2-D float32")
+    if x.shape[1] != q.shape[1]:
+        raise RuntimeError("Dim mismatch between X and Q")
+    _check_k(k)
+    k = min(k, len(x))
+    if not k or not len(q):
+        return np.zeros((len(q), k), np.int32), np.zeros((len(q), k), np.float32)
+    best = Best(q, None, k)
+    for s in range(0, len(x), ROWS):
+        best.add(np.arange(s, min(len(x), s + ROWS)), x[s : s + ROWS])
+    return best.idx.astype(np.int32), best.dist.astype(np.float32)
+
+
+def all_knn_batch(x, k: int) -> np.ndarray:
+    """Indices of the min(k, rows - 1) nearest other rows of every row of an
+    array on the driver."""
+    x = np.asarray(x, np.float32)
+    if x.ndim != 2:
+        raise RuntimeError("X and Q must be 2-D float32")
+    _check_k(k)
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return np.zeros((len(x), 0), np.int32)
+    best = Best(x, np.arange(len(x)), k)
+    for s in range(0, len(x), ROWS):
+        best.add(np.arange(s, min(len(x), s + ROWS)), x[s : s + ROWS])
+    return best.idx.astype(np.int32)

@@ -139,3 +139,10 @@ def json_rows(lines: DataFrame, column: str = "value") -> DataFrame:
 def to_json_rows(rows: DataFrame, index_name: str) -> DataFrame:
     """(value): the inverse of ``json_rows`` for (external_id, vec)."""
     return rows.select(F.to_json(F.struct(F.lit(index_name).alias("index_name"), "external_id", F.col("vec").alias("vector"))).alias("value"))
+
+
+def answers_json(found: DataFrame) -> DataFrame:
+    """(qid, value): each query's ids, nearest first, as a JSON array. Takes
+    (qid, rank, external_id); a query's ids are as many as its ``k``."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "external_id")))
+    return found.groupBy("qid").agg(F.to_json(F.transform(ordered, lambda r: r["external_id"])).alias("value"))
