@@ -115,8 +115,10 @@ def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: floa
     base = records.select(F.col(id_).cast("bigint").alias("id"), F.col(collection).alias("c"), F.col(vector).alias("v"))
     same = Window.partitionBy("h").orderBy("id")
     numbered = base.withColumn("h", content_hash("c", "v")).withColumn("n", F.dense_rank().over(same))
-    heads = numbered.where(F.col("n") <= k + 1).select("id", "c", "v")
-    cells = fit_cells(base, "id", radius, "c", "v", sample_rows, split_above=split_above)
+    # one more than can be anybody's neighbour tells which groups have a rest
+    kept = materialise(numbered.where(F.col("n") <= k + 2))
+    heads = kept.where(F.col("n") <= k + 1).select("id", "c", "v")
+    cells = fit_cells(heads, "id", radius, "c", "v", sample_rows, split_above=split_above, total=kept.count())
     assigned = assign(heads, "id", cells, probes=probes, collection="c", vector="v")
     limit = radius * radius
 
@@ -132,13 +134,14 @@ def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: floa
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q[t]]), pa.array(ids[j[t]]), pa.array(d[t])], names=["id", "neighbour", "distance"])
 
     found = by_cell(assigned, run, "id bigint, neighbour bigint, distance double")
-    # copies beyond the first k + 1: hashes of such groups, then their rows
-    narrow = base.select("id", content_hash("c", "v").alias("h"))
-    ranks = narrow.withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 2).distinct()
-    full = ranks.where(F.col("n") == k + 2).select("h")
-    firsts = ranks.join(full, "h", "left_semi").where(F.col("n") <= k).select("h", F.col("id").alias("neighbour"))
-    last = ranks.join(full, "h", "left_semi").where(F.col("n") == k + 1).select("h", F.col("id").alias("last"))
-    tail = narrow.join(last, "h").where("id > last").select("id", "h").distinct()
+    full = materialise(kept.where(F.col("n") == k + 2).select("h").distinct())
+    if full.isEmpty():
+        return found
+    # copies beyond the first k + 1
+    ranks = kept.select("h", "n", "id").join(full, "h", "left_semi").distinct()
+    firsts = ranks.where(F.col("n") <= k).select("h", F.col("id").alias("neighbour"))
+    last = ranks.where(F.col("n") == k + 1).select("h", F.col("id").alias("last"))
+    tail = base.select("id", content_hash("c", "v").alias("h")).join(last, "h").where("id > last").select("id", "h").distinct()
     return found.unionByName(tail.join(firsts, "h").select("id", "neighbour", F.lit(0.0).alias("distance")))
 
 

@@ -100,7 +100,7 @@ def _leaders(x: np.ndarray, apart: float, most: int) -> np.ndarray:
     return np.array(kept, int)
 
 
-def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_name", vector: str = "vector", sample_rows: int = 65536, most: int = 1024, split_above: int = 0, split_to: int = 4096) -> Cells:
+def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_name", vector: str = "vector", sample_rows: int = 65536, most: int = 1024, split_above: int = 0, split_to: int = 4096, total: int | None = None) -> Cells:
     """Fit the landmarks.
 
     ``sample_rows`` bounds the sample over all collections (by id hash, so it
@@ -108,9 +108,10 @@ def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_n
     landmarks, which are broadcast, stay below ``sample_rows`` rows whatever
     the data's size. Every record is later assigned, sampled or not. With
     ``split_above``, cells estimated to hold more rows get centers inside, one
-    per ``split_to`` rows (256 at most).
+    per ``split_to`` rows (256 at most). ``total``, if known, is about the
+    number of rows; it saves a count.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     if not total:
         return Cells(radius)
     scale = 1 << 30
