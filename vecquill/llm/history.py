@@ -159,11 +159,11 @@ def hashed(records: DataFrame, side: int, radius: float, parts: dict[int, int] |
     return rows.mapInArrow(run, "bucket bigint" if counted else HASHED)
 
 
-def hot_buckets(records: DataFrame, radius: float, chunk: int = CHUNK, sample_rows: int = 262144) -> dict[int, int]:
+def hot_buckets(records: DataFrame, radius: float, chunk: int = CHUNK, sample_rows: int = 262144, total: int | None = None) -> dict[int, int]:
     """Parts of the buckets that exceed ``chunk`` rows, estimated from a sample
     by id hash of at most about ``sample_rows`` rows; there are at most
     rows / chunk of them. Only the balance depends on the estimate."""
-    total = records.count()
+    total = records.count() if total is None else total
     scale = 1 << 30
     keep = min(scale, int(scale * sample_rows / max(1, total)) + 1)
     some = records.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(scale)) < keep)
@@ -258,16 +258,16 @@ def repeats(table: DataFrame, near: float = NEAR) -> DataFrame:
     return table.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, "id_a bigint, id_b bigint, distance double, full_copy boolean")
 
 
-def near_repeats(history: DataFrame, new: DataFrame, near: float = NEAR, chunk: int = CHUNK) -> DataFrame:
+def near_repeats(history: DataFrame, new: DataFrame, near: float = NEAR, chunk: int = CHUNK, total: int | None = None) -> DataFrame:
     """(id_a, id_b, distance, full_copy): every new record id_b with each record of
     smaller id, in the history or among the new ones, at most ``near`` apart in
     squared distance within its collection. Inputs: (id, collection, vector),
     usable vectors only. A record delivered twice counts once; an empty side
-    gives no pairs with it."""
+    gives no pairs with it. ``total`` is about the number of records, if known."""
     cols = ["id", "collection", "vector"]
     old = history.select(cols).unionByName(new.select(cols))
     radius = float(np.sqrt(near))
-    parts = hot_buckets(old, radius, chunk)
+    parts = hot_buckets(old, radius, chunk, total=total)
     table = hashed(old, 0, radius, parts).unionByName(hashed(new, 1, radius, parts))
     return repeats(table, near).dropDuplicates(["id_a", "id_b"])
 

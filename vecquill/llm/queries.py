@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def about(spark: SparkSession, sf_dir: str) -> int:
+    """The number of request rows, usable or not, from the files' footers."""
+    return table(spark, sf_dir, "ingest_requests").count()
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usable(table(spark, sf_dir, "ingest_requests").select("req_id", "index_name", "external_id", "vector"))
 
@@ -38,7 +43,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each near repeat with its distance, and whether it is a full copy."""
     old = requests(spark, sf_dir).select(F.col("req_id").alias("id"), F.col("index_name").alias("collection"), "vector")
-    return history.near_repeats(old, items(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+    return history.near_repeats(old, items(spark, sf_dir), total=about(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +62,11 @@ def p3_select(spark: SparkSession, sf_dir: str, k: int = 64) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivots.clusters(requests(spark, sf_dir))
+    return pivots.clusters(requests(spark, sf_dir), total=about(spark, sf_dir))
 
 
 def p4_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pivots.typical(requests(spark, sf_dir))
+    return pivots.typical(requests(spark, sf_dir), total=about(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
