@@ -101,11 +101,13 @@ def ints(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
-def sorted_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+def sorted_groups(batches: Iterable[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[tuple[tuple, pa.Table]]:
     """Groups of rows with equal values in the first ``keys`` columns, from
-    batches sorted by them. Only the current group is held."""
+    batches sorted by them. Only the current group is held; with ``most``, a
+    group comes in several tables of about so many rows."""
     held: list[pa.RecordBatch] = []
     current = None
+    size = 0
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -120,7 +122,11 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tupl
             if key != current:
                 if held:
                     yield current, pa.Table.from_batches(held)
-                held, current = [], key
+                held, current, size = [], key, 0
+            elif most and size >= most:
+                yield current, pa.Table.from_batches(held)
+                held, size = [], 0
             held.append(batch.slice(start, end - start))
+            size += end - start
     if held:
         yield current, pa.Table.from_batches(held)
