@@ -149,7 +149,7 @@ def test_split_cells_keep_recall(spark):
     """Cells too large for a task are split inside; the loss stays small."""
     x = sample(6, clusters=2, per=1500)
     base = usable(spark, x)
-    found = onebit.neighbours(base, split_above=400, probes=6)
+    found = onebit.neighbours(base, split_above=400, split_to=150)
     truth = true_neighbours(distances(x, names_of(len(x))))
     got = {(r.id, r.neighbour) for r in found.collect()}
     hit = sum((i, j) in got for i, js in truth.items() for j in js)
@@ -160,6 +160,15 @@ def test_split_cells_keep_recall(spark):
     assert sum(r.missed for r in report) == sum((i, j) not in got for i, js in total.items() for j in js)
 
 
+def test_guests_in_tables(spark, monkeypatch):
+    """A cell's guests come in several tables."""
+    monkeypatch.setattr(onebit, "GUESTS", 50)
+    x = sample(3)
+    truth = true_neighbours(distances(x, names_of(len(x))))
+    got = {(r.id, r.neighbour) for r in onebit.neighbours(usable(spark, x), split_above=50, split_to=25).collect()}
+    assert sum((i, j) in got for i, js in truth.items() for j in js) >= 0.95 * sum(map(len, truth.values()))
+
+
 def test_bounds_hold():
     """The error bound covers the exact inner product nearly always."""
     rng = np.random.default_rng(0)

@@ -10,7 +10,8 @@ best distance known are reranked by exact distances in double precision.
 
 Neighbours farther than the radius are not wanted, so cells need only their
 guests; the error bound (and, in cells too large for one task, the choice of
-inner cells) is what may miss a neighbour. ``missed`` measures that share.
+inner cells, which is all of them up to a few) is what may miss a neighbour.
+``missed`` measures that share.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ BITS = 64
 SURE = 2.5
 #: Bounds computed at once, and parts of a row of them of which the least is taken.
 _ENTRIES, _PARTS = 1 << 18, 16
+#: Relative rounding of the product in single precision.
+_SLACK = 2e-5
+#: Guests of a cell that a task holds at once.
+GUESTS = 1 << 17
 #: Cells estimated above this many records are split inside.
-SPLIT_ABOVE = 16384
+SPLIT_ABOVE = 24576
 
 
 @lru_cache(maxsize=4)
@@ -48,60 +53,104 @@ def encode(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.packbits(y > 0, axis=1), norm, np.where(norm > 0, scalar, 1).astype(np.float32)
 
 
-def nearest(ids: np.ndarray, home: np.ndarray, x: np.ndarray, k: int, limit: float, bits: int = BITS, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, row of the neighbour, squared distance) for each row
-    at home: the ``k`` nearest other rows up to ``limit``, ties by id."""
+def nearest(qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, limit: float, bits: int = BITS, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, row of the neighbour, squared distance): for each
+    query the ``k`` nearest rows of another id up to ``limit``, ties by id.
+    Ids of rows are distinct."""
     n = len(ids)
-    queries = np.flatnonzero(home)
-    none = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    if n < 2 or not len(queries):
-        return none
-    x64 = x.astype(np.float64)
+    if not n or not len(qids):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    x64, q64 = x.astype(np.float64), qx.astype(np.float64)
     mid = np.median(x64, axis=0)
-    o = (x64 - mid).astype(np.float32)
+    turn = rotation(x.shape[1], bits).T
+    o, oq = (x64 - mid).astype(np.float32), (q64 - mid).astype(np.float32)
     codes, norm, scalar = encode(o, bits)
     base = norm * norm
-    slack = 2e-5 * base + 1e-6
     error = sure * 2 * norm * np.sqrt(np.maximum(1 - scalar**2, 0)) / scalar / np.sqrt(bits - 1)
     factor = 2 * norm / (scalar * np.sqrt(bits))
     # one product gives every lower bound less the query's own part: the estimate, the record's norm, and the error for the query's norm
     signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
-    right = np.concatenate([signs * -factor[:, None], (base - slack)[:, None], -error[:, None]], 1).astype(np.float32).T.copy()
-    left = np.concatenate([o @ rotation(o.shape[1], bits).T, np.ones((n, 1)), norm[:, None]], 1).astype(np.float32)
-    own = (base - slack).astype(np.float32)
+    right = np.concatenate([signs * -factor[:, None], (base - _SLACK * base)[:, None], -error[:, None]], 1).astype(np.float32).T.copy()
+    norm_q = np.sqrt((oq * oq).sum(1))
+    left = np.concatenate([oq @ turn, np.ones((len(oq), 1)), norm_q[:, None]], 1).astype(np.float32)
+    own = (norm_q * norm_q * (1 - _SLACK) - 2e-6).astype(np.float32)
     out = []
     step = int(min(1024, max(16, _ENTRIES // n)))
     m = n // _PARTS * _PARTS
-    for s in range(0, len(queries), step):
-        q = queries[s : s + step]
-        b = len(q)
+    some = k + 4
+    for s in range(0, len(qids), step):
+        q = slice(s, s + step)
         low = left[q] @ right
-        low[np.arange(b), q] = np.inf
+        b = len(low)
         known = np.full(b, limit)
-        if m // _PARTS > 8 * k:
-            # a bound on the k-th distance: exact distances of some records that look near
+        if m // _PARTS > 4 * some:
+            # a bound on the k-th distance: exact distances of some records that look near, of which one may be the query itself
             parts = low[:, :m].reshape(b, _PARTS, m // _PARTS)
-            pick = np.argpartition(parts.min(1), k + 2, axis=1)[:, : k + 3]
+            pick = np.argpartition(parts.min(1), some - 1, axis=1)[:, :some]
             inside = parts[np.arange(b)[:, None], :, pick].argmin(2)
-            some = inside * (m // _PARTS) + pick
-            d = exact_pairs(x64, x64, np.repeat(q, k + 3), some.ravel()).reshape(b, k + 3)
-            known = np.minimum(known, np.partition(d, k - 1, axis=1)[:, k - 1])
+            d = exact_pairs(q64[q], x64, np.repeat(np.arange(b), some), (inside * (m // _PARTS) + pick).ravel()).reshape(b, some)
+            known = np.minimum(known, np.partition(d, k, axis=1)[:, k])
         at = np.flatnonzero(low <= (known - own[q]).astype(np.float32)[:, None])
         i, j = at // n, at % n
-        away = ids[q[i]] != ids[j]
+        away = qids[q][i] != ids[j]
         i, j = i[away], j[away]
-        d = exact_pairs(x64, x64, q[i], j)
+        d = exact_pairs(q64[q], x64, i, j)
         ok = d <= known[i]
-        i, j, d = i[ok], j[ok], d[ok]
-        order = np.lexsort((ids[j], d, i))
-        i, j, d = i[order], j[order], d[order]
-        counts = np.bincount(i, minlength=b)
-        top = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) < k
-        out.append((q[i[top]], j[top], d[top]))
-    return tuple(np.concatenate(v) for v in zip(*out)) if out else none
-
-
-def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: float = 1.0, collection: str = "index_name", vector: str = "vector", bits: int = BITS, sure: float = SURE, sample_rows: int = 65536, split_above: int = SPLIT_ABOVE, probes: int = 12) -> DataFrame:
+        i, j, d = best(i[ok], j[ok], d[ok], ids, k)
+        out.append((s + i, j, d))
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
+def best(i: np.ndarray, j: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` rows of each query by distance, then id."""
+    order = np.lexsort((ids[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    counts = np.bincount(i)
+    top = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) < k
+    return i[top], j[top], d[top]
+
+
+def _first(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, at = np.unique(ids, return_index=True)
+    return ids, x[at]
+
+
+class _Cell:
+    """The queries of a cell, and the best that its tables have shown."""
+
+    def __init__(self, k: int, limit: float, bits: int, sure: float):
+        self.k, self.limit, self.options = k, limit, (bits, sure)
+        self.home: list = []
+        self.ready = None
+
+    def add(self, is_home: bool, ids: np.ndarray, x: np.ndarray) -> None:
+        if is_home:
+            self.home.append((ids, x))
+        elif self.home:
+            self._show(ids, x)
+
+    def _show(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if self.ready is None:  # the first table is searched together with the cell's own records
+            self.qids, self.qx = _first(*(np.concatenate(c) for c in zip(*self.home)))
+            ids, x = np.r_[self.qids, ids], np.concatenate([self.qx, x]) if len(x) else self.qx
+        ids, x = _first(ids, x)
+        i, j, d = nearest(self.qids, self.qx, ids, x, self.k, self.limit, *self.options)
+        new = i, ids[j], d
+        self.ready = new if self.ready is None else tuple(np.concatenate(v) for v in zip(self.ready, new))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.home:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if self.ready is None:
+            self._show(np.zeros(0, np.int64), np.zeros((0, 1), np.float32))
+        i, other, d = self.ready
+        if len(i):
+            i, j, d = best(i, np.arange(len(i)), d, other, self.k)
+            other = other[j]
+        return self.qids[i], other, d
+
+
+def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: float = 1.0, collection: str = "index_name", vector: str = "vector", bits: int = BITS, sure: float = SURE, sample_rows: int = 65536, split_above: int = SPLIT_ABOVE, split_to: int = 16384, probes: float = 0.6) -> DataFrame:
     """(id, neighbour, distance): for every usable record its ``k`` nearest
     others in the collection, none farther than ``radius``; ties go to the
     smaller id.
@@ -116,22 +165,29 @@ def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: floa
     same = Window.partitionBy("h").orderBy("id")
     numbered = base.withColumn("h", content_hash("c", "v")).withColumn("n", F.dense_rank().over(same))
     # one more than can be anybody's neighbour tells which groups have a rest
-    kept = materialise(numbered.where(F.col("n") <= k + 2))
+    kept = numbered.where(F.col("n") <= k + 2).withColumn("twice", F.lag("id").over(same) == F.col("id"))
+    kept = materialise(kept.where(~F.coalesce("twice", F.lit(False))).drop("twice"))
     heads = kept.where(F.col("n") <= k + 1).select("id", "c", "v")
-    cells = fit_cells(heads, "id", radius, "c", "v", sample_rows, split_above=split_above, total=kept.count())
+    cells = fit_cells(heads, "id", radius, "c", "v", sample_rows, split_above=split_above, split_to=split_to, total=kept.count())
     assigned = assign(heads, "id", cells, probes=probes, collection="c", vector="v")
     limit = radius * radius
 
     def run(batches):
-        for _, table in sorted_groups(batches, 2):
-            ids, home = ints(table.column(3)), ints(table.column(2)).astype(bool)
-            order = np.lexsort((~home, ids))
-            at = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
-            ids, home = ids[at], home[at]
-            q, j, d = nearest(ids, home, matrix(table.column(4))[at], k, limit, bits, sure)
-            for s in range(0, len(q), 65536):
-                t = slice(s, s + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[t]]), pa.array(ids[j[t]]), pa.array(d[t])], names=["id", "neighbour", "distance"])
+        key, cell = None, None
+        for (*at, is_home), table in sorted_groups(batches, 3, GUESTS):
+            if at != key:
+                if cell:
+                    yield from results(cell)
+                key, cell = at, _Cell(k, limit, bits, sure)
+            cell.add(is_home, ints(table.column(3)), matrix(table.column(4)))
+        if cell:
+            yield from results(cell)
+
+    def results(cell):
+        q, other, d = cell.rows()
+        for s in range(0, len(q), 65536):
+            t = slice(s, s + 65536)
+            yield pa.RecordBatch.from_arrays([pa.array(q[t]), pa.array(other[t]), pa.array(d[t])], names=["id", "neighbour", "distance"])
 
     found = by_cell(assigned, run, "id bigint, neighbour bigint, distance double")
     full = materialise(kept.where(F.col("n") == k + 2).select("h").distinct())

@@ -100,7 +100,7 @@ def _leaders(x: np.ndarray, apart: float, most: int) -> np.ndarray:
     return np.array(kept, int)
 
 
-def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_name", vector: str = "vector", sample_rows: int = 65536, most: int = 1024, split_above: int = 0, split_to: int = 4096, total: int | None = None) -> Cells:
+def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_name", vector: str = "vector", sample_rows: int = 65536, most: int = 1024, split_above: int = 0, split_to: int = 16384, total: int | None = None) -> Cells:
     """Fit the landmarks.
 
     ``sample_rows`` bounds the sample over all collections (by id hash, so it
@@ -108,7 +108,7 @@ def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_n
     landmarks, which are broadcast, stay below ``sample_rows`` rows whatever
     the data's size. Every record is later assigned, sampled or not. With
     ``split_above``, cells estimated to hold more rows get centers inside, one
-    per ``split_to`` rows (256 at most). ``total``, if known, is about the
+    per ``split_to`` rows (1024 at most). ``total``, if known, is about the
     number of rows; it saves a count.
     """
     total = df.count() if total is None else total
@@ -147,7 +147,7 @@ def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_n
         size = np.bincount(near, minlength=len(c)) * (scale / keep)
         for k in np.flatnonzero(size > split_above) if split_above else ():
             inside = points[near == k]
-            seeds = inside[: int(min(256, len(inside), -(-size[k] // split_to)))]
+            seeds = inside[: int(min(1024, len(inside), -(-size[k] // split_to)))]
             for _ in range(4):
                 at = squared(inside, seeds).argmin(1)
                 sums = np.zeros_like(seeds)
@@ -165,14 +165,15 @@ def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_n
 ASSIGNED = "cell bigint, part int, home boolean, id bigint, vec binary"
 
 
-def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: int = 12, collection: str = "index_name", vector: str = "vector") -> DataFrame:
+def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float = 0.6, collection: str = "index_name", vector: str = "vector") -> DataFrame:
     """One row per record and cell that it belongs to (see the module).
 
     A collection without landmarks is one cell, numbered below zero. ``part``
     divides what would be too large for a task:
 
     * cells split inside (``Cells.inner``): part is the inner center; a record
-      is at home with its nearest and a guest with the ``probes`` nearest;
+      is at home with its nearest of the m centers and a guest with the
+      ``probes`` m (16 / m)^0.25 nearest, all of them while m is small;
     * with ``chunk``, a cell estimated above that many rows is cut into parts;
       records within ``r / 2`` of its center (which are all within ``r`` of
       each other) go to one part by hash, all others to every part, at home in
@@ -223,7 +224,7 @@ def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: int =
                             t = np.flatnonzero(cell == big)
                             seeds = c.inner[int(big)]
                             di = squared(p[i[t]], seeds)
-                            n = min(probes, len(seeds))
+                            n = min(len(seeds), int(np.ceil(probes * len(seeds) * (16 / len(seeds)) ** 0.25)))
                             order = np.argpartition(di, n - 1, axis=1)[:, :n] if n < len(seeds) else np.broadcast_to(np.arange(n), di.shape)
                             first = di.argmin(1)
                             extra.append((np.repeat(rows[i[t]], n), np.full(len(t) * n, big), order.ravel().astype(np.int32), (np.repeat(is_home[t], n)) & (order.ravel() == np.repeat(first, n))))
@@ -246,5 +247,6 @@ def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: int =
 
 
 def by_cell(assigned: DataFrame, run, schema: str) -> DataFrame:
-    """Run ``run(batches)`` over partitions sorted by cell and part."""
-    return assigned.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(run, schema)
+    """Run ``run(batches)`` over partitions sorted by cell and part, the
+    records at home first."""
+    return assigned.repartition("cell", "part").sortWithinPartitions("cell", "part", F.desc("home")).mapInArrow(run, schema)
