@@ -10,6 +10,13 @@ SCHEMA = "req_id bigint, index_name string, external_id string, vector array<flo
 BAD = [None, [], [1.0] * 31, [1.0] * 33, [float("nan")] + [0.0] * 31, [2e16] + [0.0] * 31, [None] + [0.0] * 31]
 
 
+@pytest.fixture(autouse=True, params=[20, 4096], ids=["cells", "single"])
+def single(request, monkeypatch):
+    """Everything holds with many cells and with one for each collection."""
+    monkeypatch.setattr(vectors, "SINGLE", request.param)
+    return request.param
+
+
 def sample(seed=0, clusters=6, per=60, spread=0.06, loose=40):
     """Tight clusters, chains with steps around the radius, near repeats,
     exact copies, loose records and a few enormous ones."""
@@ -71,8 +78,7 @@ def usable(spark, x, **o):
     return vectors.usable(frame(spark, x, **o))
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 40}, {"sample_rows": 150}])
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed,options", [(0, {}), (1, {"chunk": 40}), (0, {"sample_rows": 150}), (1, {"sample_rows": 12, "chunk": 30})])
 def test_clusters(spark, seed, options):
     x = sample(seed)
     got = pivots.clusters(usable(spark, x), **options).collect()

@@ -22,6 +22,8 @@ from ..shared import ints, matrix, packed
 
 DIM = 32
 LARGEST = 1e16
+#: A collection estimated below this many records is one cell.
+SINGLE = 4096
 
 
 def usable(df: DataFrame, dim: int = DIM, vector: str = "vector", collection: str = "index_name") -> DataFrame:
@@ -127,7 +129,8 @@ def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_n
         _, at = np.unique(own_ids, return_index=True)
         points = points[at[np.argsort(mixed(own_ids[at]), kind="stable")]]
         points = points[np.abs(points).max(1) < 1e6]
-        if len(points) < 64:
+        # any landmarks keep the cells lossless, so few sampled rows are enough for a large collection
+        if len(points) * (scale / keep) < SINGLE or len(points) < 2:
             continue
         apart = 3 * radius
         c = points[_leaders(points, apart, most)]
