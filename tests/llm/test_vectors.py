@@ -126,6 +126,23 @@ def test_typical(spark):
         assert all(d[a[2], b[2]] <= 4.0 for a in members for b in members)
 
 
+@pytest.mark.parametrize("spread", [0.13, 0.2])
+def test_typical_in_parts(spark, monkeypatch, spread):
+    """A large cell's clusters are those of the cell in one piece."""
+    monkeypatch.setattr(pivots, "POOLED", 64)
+    rng = np.random.default_rng(9)
+    loose = rng.standard_normal(32) + spread * rng.standard_normal((500, 32))  # most lie beyond half the radius
+    x = np.concatenate([sample(5), loose, loose[:30], loose[:7]]).astype(np.float32)
+    df = usable(spark, x)
+
+    def clusters(chunk):
+        return {(r.cluster_cell, r.cluster_pivot, r.cluster_size, r.place, r.req_id): r.distance for r in pivots.typical(df, chunk=chunk).collect()}
+
+    whole, cut = clusters(1 << 20), clusters(50)
+    assert cut.keys() == whole.keys() and all(abs(whole[k] - cut[k]) <= 1e-9 * (1 + whole[k]) for k in whole)
+    assert sum(k[2] for k in cut if k[3] == 0) == len(x)
+
+
 @pytest.mark.parametrize("seed", [0, 3])
 def test_neighbours(spark, seed):
     x = sample(seed)

@@ -168,8 +168,9 @@ def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_n
 ASSIGNED = "cell bigint, part int, home boolean, id bigint, vec binary"
 
 
-def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float = 0.6, collection: str = "index_name", vector: str = "vector") -> DataFrame:
-    """One row per record and cell that it belongs to (see the module).
+def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float = 0.6, collection: str = "index_name", vector: str = "vector", guests: bool = True) -> DataFrame:
+    """One row per record and cell that it belongs to (see the module); without
+    ``guests`` only the row at home.
 
     A collection without landmarks is one cell, numbered below zero. ``part``
     divides what would be too large for a task:
@@ -209,13 +210,13 @@ def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float
                     gap = np.sqrt(squared(m[used], m))[back]
                     slack = 1e-9 * (1 + (p * p).sum(1))
                     member = d - best[:, None] <= 2 * r * gap + slack[:, None]
-                    i, j = np.nonzero(member)
+                    i, j = np.nonzero(member) if guests else (np.arange(len(rows)), home)
                     cell, is_home = j + lo, j == home[i]
                     part = np.zeros(len(i), np.int32)
                     if chunk:
                         parts = np.maximum(1, np.ceil(c.rows[cell] / chunk)).astype(np.int64)
                         own = (mixed(ids[rows[i]]) % parts.astype(np.uint64)).astype(np.int32)
-                        core = is_home & (d[i, j] <= r * r / 4 * (1 - 1e-9))
+                        core = is_home & (d[i, j] <= r * r / 4 * (1 - 1e-9)) if guests else is_home
                         spread = np.where(core, 1, parts)
                         k = np.repeat(np.arange(len(i)), spread)
                         step = np.arange(len(k)) - np.repeat(np.cumsum(spread) - spread, spread)
