@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from vecquill import all_knn, all_knn_batch, brute_knn_batch, knn
+from vecquill import all_knn, all_knn_batch, brute_knn_batch, knn, queries
 from vecquill.operators import ann
 from vecquill.operators.knn import knn_within, nearest_one
 
@@ -101,6 +101,17 @@ def test_cells_recall_and_pruning(spark, tmp_path):
     assert len(pairs & {(a, c) for a, _, c in exact}) >= 0.9 * len(exact)
 
 
+def test_registered_cells_recall(spark, tmp_path):
+    """As registered, on unit vectors without clusters, as in the driver's table."""
+    x = np.random.default_rng(4).standard_normal((2000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    frame(spark, x, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = {(r.qid, r.vec_id) for r in queries.ivf_search(spark, str(tmp_path)).collect()}
+    asked = sorted({a for a, _ in near})
+    exact = {(asked[a], c) for a, _, c in truth(x, x[asked], 10)}
+    assert len(asked) >= 10 and len(exact & near) >= 0.9 * len(exact)
+
+
 def test_arrays(data):
     idx, dist = brute_knn_batch(data, data[:9], 7)
     assert [(i, r, int(j)) for i, row in enumerate(idx) for r, j in enumerate(row)] == truth(data, data[:9], 7)
