@@ -3,7 +3,7 @@ import threading
 import numpy as np
 import pytest
 
-from vecquill import IndexCatalog, VectorEngine
+from vecquill import IndexCatalog, VectorEngine, queries
 from vecquill.plans.store import Conflict, Store
 from vecquill.sources import files
 from vecquill.streaming.upserts import last_per_id, stream_into
@@ -359,6 +359,16 @@ def test_stream(spark, tmp_path, path):
     assert last_per_id(spark.createDataFrame([], schema), "at").count() == 0
 
 
+def test_stream_of_all_collections(spark, tmp_path):
+    """Collections may share ids, and names may be the start of others."""
+    names, ids = ["catalog_main", "catalog", "a", "a:b", "1:a", None], ["x", "ax", "1:x", "", None]
+    rows = [(i, names[i % 6], ids[i % 5], [float(i)] * 32) for i in range(90)] + [(200, "a", "x", [float("nan")] * 32), (None, "a", "x", [1.0] * 32)]
+    spark.createDataFrame(rows + rows[:9], "req_id bigint, index_name string, external_id string, vector array<float>").write.parquet(f"{tmp_path}/ingest_requests.parquet")
+    last = {(c, e): float(i) for i, c, e, _ in rows[:90] if c is not None and e is not None}
+    assert sorted(tuple(r) for r in queries.stream_upserts_all(spark, str(tmp_path)).collect()) == sorted((*k, v) for k, v in last.items())
+    assert {tuple(r) for r in queries.stream_upserts(spark, str(tmp_path)).collect()} == {(e, v) for (c, e), v in last.items() if c == "catalog_main"}
+
+
 def test_internal_numbers(spark, path):
     e = VectorEngine(spark, path, DIM)
     e.write(spark.createDataFrame([(f"id{i:03}", X[i].tolist()) for i in range(50)], "external_id string, vec array<float>").repartition(4), "build")

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import VectorEngine
@@ -248,14 +248,27 @@ def lsh_search(spark, sf_dir):
     return _rounded(ann.hashed(x, ten(x), 10, 1.6))
 
 
-def stream_upserts(spark, sf_dir):
-    """The requests of one collection as a stream of upserts."""
+def _collection_key(name: Column, external: Column) -> Column:
+    """One id for both; the name's length ahead keeps any two apart."""
+    return F.concat(F.length(name).cast("string"), F.lit(":"), name, external)
+
+
+def stream_upserts_all(spark, sf_dir):
+    """The requests of all collections as a stream of upserts."""
     source = spark.read.parquet(f"{sf_dir}/ingest_requests.parquet").schema
     rows = spark.readStream.schema(source).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "*.parquet").parquet(_folder(sf_dir))
-    rows = rows.where("req_id is not null").where(F.col("index_name") == "catalog_main").where(F.col("external_id").isNotNull() & valid("vector", 32)).select("external_id", F.col("vector").alias("vec"), "req_id")
+    rows = rows.where("req_id is not null and index_name is not null").where(F.col("external_id").isNotNull() & valid("vector", 32))
+    rows = rows.select(_collection_key(F.col("index_name"), F.col("external_id")).alias("external_id"), F.col("vector").alias("vec"), "req_id")
     e = VectorEngine(spark, _path(spark), 32)
     stream_into(rows, e, f"{_path(spark)}-stream", order="req_id", once=True).awaitTermination()
-    return _live(e)
+    size = F.substring_index("external_id", ":", 1)
+    start, n = F.length(size) + 2, size.cast("int")
+    return _live(e).select(F.col("external_id").substr(start, n).alias("index_name"), F.col("external_id").substr(start + n, F.length("external_id")).alias("external_id"), "first")
+
+
+def stream_upserts(spark, sf_dir):
+    """One collection of the stream of all."""
+    return stream_upserts_all(spark, sf_dir).where("index_name = 'catalog_main'").select("external_id", "first")
 
 
 def _folder(sf_dir: str) -> str:
@@ -269,7 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         l2_sqr_pairs, dot_pairs, l2_mat_vec, dot_mat_vec, brute_knn_batch, all_knn_10, search_single, search_k_gt_n, logged_search,
         search_main_delta, search_after_delete, search_after_delete_all, search_after_upsert, delete_counts, delete_not_found, live_rows,
         compact_rows, optimize_rows, needs_rebuild_ratio, invalid_vectors, duplicate_ids, raw_file_roundtrip, fixed_width_roundtrip, json_rows,
-        ivf_search, lsh_search, stream_upserts,
+        ivf_search, lsh_search, stream_upserts, stream_upserts_all,
     )
 }
 
@@ -327,4 +340,6 @@ FROM ingest_requests WHERE vector IS NULL OR NOT ({_OK.format('vector')}) GROUP
     "json_rows": _ENDS,
     "stream_upserts": f"""SELECT external_id, round(arg_max(vector, req_id)[1]::DOUBLE, 6) AS first FROM ingest_requests
 WHERE index_name = 'catalog_main' AND external_id IS NOT NULL AND {_OK.format('vector')} GROUP BY external_id""",
+    "stream_upserts_all": f"""SELECT index_name, external_id, round(arg_max(vector, req_id)[1]::DOUBLE, 6) AS first FROM ingest_requests
+WHERE index_name IS NOT NULL AND external_id IS NOT NULL AND {_OK.format('vector')} GROUP BY index_name, external_id""",
 }
