@@ -288,6 +288,27 @@ def test_history_in_batches(spark, tmp_path):
     assert h.check(new.limit(0), 9).count() == 0
 
 
+def test_history_cuts_large_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "CHUNK", 20)
+    repeats, most = history.repeats, []
+
+    def watched(table, near):
+        old = table.where("side = 0")
+        most.append([old.groupBy(*by).count().agg(F.max("count")).first()[0] for by in (["bucket"], ["bucket", "part"])])
+        return repeats(table, near)
+
+    monkeypatch.setattr(history, "repeats", watched)
+    x = sample(8, clusters=2)
+    x[:60] = x[0]
+    x[-30:] = x[0]  # a crowd of copies in both batches
+    names = names_of(len(x))
+    old, new = sides(spark, x, names)
+    h = history.History(spark, str(tmp_path / "h"))
+    h.check(old, 0)
+    assert {(r.id_a, r.id_b) for r in h.check(new, 1).collect()} == true_repeats(x, names)
+    assert all(whole > 50 and part <= 40 for whole, part in most)
+
+
 def test_selection(spark):
     x = sample(9)
     k = 12

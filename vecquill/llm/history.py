@@ -21,7 +21,8 @@ components in common: these, exactly, make the bucket of a vector with any,
 and its paragraphs are all alike.
 
 Buckets above ``CHUNK`` records are cut into parts by hash on the history's
-side; new records look into all parts.
+side; new records look into all parts. ``History`` cuts them when it reads
+them, by the number of records that they hold by then.
 """
 
 from __future__ import annotations
@@ -290,17 +291,24 @@ class History:
         """(id_a, id_b, distance, full_copy) of the batch's records against earlier
         batches and, by id, within the batch; then append."""
         own = hashed(batch, 0, self.radius).withColumn("file", self._file()).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        asked = hashed(batch, 1, self.radius)
+        asked = hashed(batch, 1, self.radius, counted=True)
         touched = [r[0] for r in asked.select(self._file().alias("f")).distinct().collect()]
+        sizes = hashed(batch, 0, self.radius, counted=True)
         old = own.drop("file", "batch")
         known = False
         if self._exists():
             stored = self.spark.read.parquet(self.path)
             known = not stored.where(F.col("batch") == batch_id).limit(1).isEmpty()
-            old = stored.where(F.col("file").isin(touched or [-1]) & (F.col("batch") < batch_id)).drop("file", "batch").unionByName(old)
+            earlier = stored.where(F.col("file").isin(touched or [-1]) & (F.col("batch") < batch_id)).drop("file", "batch")
+            old, sizes = earlier.unionByName(old), earlier.select("bucket").unionByName(sizes)
         from ..shared import materialise
 
-        found = materialise(repeats(old.unionByName(asked), self.near).dropDuplicates(["id_a", "id_b"]))
+        parts = {r[0]: -(-r[1] // CHUNK) for r in sizes.groupBy("bucket").count().where(F.col("count") > CHUNK).collect()}
+        if parts:
+            many = F.broadcast(self.spark.createDataFrame(list(parts.items()), "bucket bigint, many bigint"))
+            part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("many")), F.lit(0)).cast("int")
+            old = old.join(many, "bucket", "left").withColumn("part", part).select("bucket", "part", "side", "id", "content", "paragraphs", "vec")
+        found = materialise(repeats(old.unionByName(hashed(batch, 1, self.radius, parts)), self.near).dropDuplicates(["id_a", "id_b"]))
         if not known:
             own.dropDuplicates(["id"]).write.mode("append").partitionBy("batch", "file").parquet(self.path)
         return found
