@@ -112,6 +112,13 @@ def test_registered_cells_recall(spark, tmp_path):
     assert len(asked) >= 10 and len(exact & near) >= 0.9 * len(exact)
 
 
+def test_approximate_queries_grow_with_the_table(spark, tmp_path):
+    x = np.random.default_rng(6).standard_normal((1201, 64))
+    frame(spark, x / np.linalg.norm(x, axis=1)[:, None], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for each in (queries.ivf_search, queries.lsh_search):
+        assert {r.qid for r in each(spark, str(tmp_path)).collect()} == set(range(0, 1201, 100))
+
+
 def test_arrays(data):
     idx, dist = brute_knn_batch(data, data[:9], 7)
     assert [(i, r, int(j)) for i, row in enumerate(idx) for r, j in enumerate(row)] == truth(data, data[:9], 7)
