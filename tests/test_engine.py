@@ -246,6 +246,32 @@ def test_versions(spark, path):
         store.commit(other)
 
 
+def test_more_tasks_than_any_number_of_bits(spark, path):
+    """Row numbers of one commit don't run into the next."""
+    e = VectorEngine(spark, path, DIM)
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(f"a{i}", rng.standard_normal(DIM).tolist()) for i in range(1030)], "external_id string, vec array<float>")
+    e.write(rows.repartition(1030), "build")
+    e.write(spark.createDataFrame([("new", [50.0] * DIM), ("copy", [50.0] * DIM)], "external_id string, vec array<float>").coalesce(1), "insert")
+    q = spark.createDataFrame([(1, [50.0] * DIM)], "qid bigint, q array<float>")
+    assert [(r["rank"], r.external_id, r.distance) for r in e.search_batch(q, 2).orderBy("rank").collect()] == [(0, "new", 0.0), (1, "copy", 0.0)]
+    assert e.search([50.0] * DIM, 2) == ["new", "copy"]
+    assert e.search_batch(q.limit(0), 2).count() == 0 and e.search_batch(q, 2).columns == ["qid", "rank", "external_id", "distance"]
+    with pytest.raises(RuntimeError, match="Dim mismatch"):
+        e.search_batch(spark.createDataFrame([(1, [1.0])], "qid bigint, q array<float>"), 2)
+    e.rebuild_compact()
+    assert e.live_count() == 1032 and len(e.rows().inputFiles()) == 1
+
+
+def test_vacuum_spares_what_a_writer_announced(spark, path):
+    e = engine(spark, path, 5)
+    pending = e.store.folder("rows")
+    e.rows().write.parquet(pending)
+    e.rebuild_compact()
+    assert e.vacuum() == 1 and spark.read.parquet(pending).count() == 5
+    assert e.vacuum(abandoned=-1) == 1 and e.live_count() == 5 and e.vacuum(abandoned=-1) == 0
+
+
 def test_writers_and_readers(spark, path):
     e = engine(spark, path, 20)
     errors = []

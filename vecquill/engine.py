@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.checks import ROWS, bad_reason, check_vector, repeated_ids
-from .operators.knn import knn, nearest_one
+from .operators.knn import knn_carrying, nearest_one
 from .plans.store import Conflict, Manifest, Store
 
 SEGMENT = "external_id string, vec array<float>, seq bigint, pos bigint"
 DEAD = "external_id string, seq bigint"
+#: Bytes of a file that compaction writes.
+FILE = 128 << 20
 
 
 @dataclass
@@ -84,8 +86,8 @@ class VectorEngine:
         self.close()
         self.store.destroy()
 
-    def vacuum(self, keep: int = 1) -> int:
-        return self.store.vacuum(keep)
+    def vacuum(self, keep: int = 1, abandoned: float = 86400.0) -> int:
+        return self.store.vacuum(keep, abandoned)
 
     # reading
 
@@ -140,12 +142,10 @@ class VectorEngine:
         return [r[0] for r in nearest_one(rows, v, k, ties=("seq", "pos")).select("external_id").collect()]
 
     def search_batch(self, queries: DataFrame, k: int = 10, qid: str = "qid", query: str = "q", version: int | None = None) -> DataFrame:
-        """(qid, rank, external_id, distance) for every query, rank from 0."""
-        rows = self.rows(version)
-        # (seq, pos) as one number: fewer than 2**20 commits, positions as Spark numbers them
-        keyed = rows.withColumn("idx", F.shiftleft("seq", 43) + F.col("pos"))
-        found = knn(keyed, queries, k, "idx", "vec", qid, query)
-        return found.join(keyed.select("idx", "external_id"), "idx").select("qid", "rank", "external_id", F.col("dist").alias("distance"))
+        """(qid, rank, external_id, distance) for every query, rank from 0;
+        ties in the order of arrival."""
+        found = knn_carrying(self.rows(version), queries, k, ("seq", "pos"), "external_id", "vec", qid, query)
+        return found.select("qid", "rank", F.col("value").alias("external_id"), F.col("dist").alias("distance"))
 
     def internal(self, kind: str = "main", version: int | None = None) -> DataFrame:
         """(idx, external_id) of a segment, dead rows included, numbered from 0
@@ -294,6 +294,7 @@ class VectorEngine:
                 if stream:
                     m.streams[stream[0]] = stream[1]
                 self.store.commit(m)
+                self.store.settle(made)
             except BaseException:
                 for f in made:
                     self.store.drop(f)
@@ -349,9 +350,12 @@ class VectorEngine:
         m.delta, m.delta_dead, m.delta_rows, m.delta_deletes = [], [], 0, 0
 
     def _fold(self, m: Manifest, seq: int) -> str:
-        """Rewrite the live rows as a new main; returns its folder."""
+        """Rewrite the live rows as a new main of files of about ``FILE``
+        bytes; returns its folder. Small files are put together as they are
+        read, so rows don't move."""
         folder = self.store.folder("rows")
-        self._live(m, "main").unionByName(self._live(m, "delta")).write.parquet(folder)
+        files = -(-(m.main_rows + m.delta_rows) * (4 * self.dim + 48) // FILE)
+        self._live(m, "main").unionByName(self._live(m, "delta")).coalesce(max(1, files)).write.parquet(folder)
         m.main, m.delta, m.main_dead, m.delta_dead = [[folder, seq]], [], [], []
         m.main_rows, m.delta_rows, m.main_deletes, m.delta_deletes = m.main_rows + m.delta_rows, 0, 0, 0
         return folder
@@ -374,6 +378,7 @@ class VectorEngine:
                 m.commit = seq
                 try:
                     self.store.commit(m)
+                    self.store.settle(made)
                 except BaseException:
                     for f in made:
                         self.store.drop(f)
@@ -407,6 +412,7 @@ class VectorEngine:
             m.commit, m.params = seq, asdict(Params(M, ef_construction, ef_search, seed))
             try:
                 self.store.commit(m)
+                self.store.settle([folder])
             except BaseException:
                 self.store.drop(folder)
                 raise

@@ -1,4 +1,5 @@
-"""Exact nearest neighbours under squared L2, ties by row id.
+"""Exact nearest neighbours under squared L2, ties by row id (or by any
+columns of whole numbers).
 
 Batches of queries are broadcast in blocks of bounded size. Each task keeps the
 k best rows per query over its whole partition, so the shuffle carries k rows
@@ -8,8 +9,11 @@ differences in double precision; the matrix product only shortlists.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from ..shared import ints, materialise, matrix
 
 #: Bytes of query vectors in one broadcast.
 BLOCK_BYTES = 32 << 20
+#: Bytes of the best rows that a task keeps for a block of queries.
+BEST_BYTES = 64 << 20
 #: Rows compared at once.
 ROWS = 32768
 
@@ -25,16 +31,23 @@ _FOUND = "qid bigint, idx bigint, dist double"
 
 
 class Best:
-    """The k best rows for each of a block of queries."""
+    """The k best rows for each of a block of queries, by distance, then by
+    the keys in their order. Rows may carry a value of any kind."""
 
-    def __init__(self, queries: np.ndarray, own: np.ndarray | None, k: int):
+    def __init__(self, queries: np.ndarray, own: np.ndarray | None, k: int, keys: int = 1, carries: bool = False):
         self.q = queries.astype(np.float64)
         self.sq = (self.q * self.q).sum(1)
         self.own, self.k = own, k
         self.dist = np.full((len(queries), k), np.inf)
-        self.idx = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.keys = [np.full((len(queries), k), np.iinfo(np.int64).max) for _ in range(keys)]
+        self.values = np.full((len(queries), k), None, object) if carries else None
+
+    @property
+    def idx(self) -> np.ndarray:
+        return self.keys[0]
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def add(self, ids: np.ndarray | list[np.ndarray], x: np.ndarray, values: np.ndarray | None = None) -> None:
+        keys = [ids] if isinstance(ids, np.ndarray) else ids
         x = x.astype(np.float64)
         sx = (x * x).sum(1)
         step = int(max(16, (1 << 22) // max(1, len(x))))
@@ -49,29 +62,39 @@ class Best:
             slack = 1e-12 * (self.sq[s : s + step] + sx.max(initial=0)) + 1e-300
             i, j = np.nonzero(d <= (limit + 2 * slack)[:, None])
             if self.own is not None:
-                ok = self.own[s + i] != ids[j]
+                ok = self.own[s + i] != keys[0][j]
                 i, j = i[ok], j[ok]
             e = np.empty(len(i))
             for t in range(0, len(i), 65536):
                 gap = q[i[t : t + 65536]] - x[j[t : t + 65536]]
                 e[t : t + 65536] = np.einsum("ij,ij->i", gap, gap)
             rows = np.unique(i)
-            n = len(rows)
-            # merge with what is known, by (distance, id)
+            n, m = len(rows), len(i)
+            # merge with what is known
             qi = np.r_[np.searchsorted(rows, i), np.repeat(np.arange(n), self.k)]
             dd = np.r_[e, self.dist[s + rows].ravel()]
-            ii = np.r_[ids[j], self.idx[s + rows].ravel()]
-            order = np.lexsort((ii, dd, qi))
-            qi, dd, ii = qi[order], dd[order], ii[order]
-            rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-            top = rank < self.k
-            self.dist[s + rows[qi[top]], rank[top]] = dd[top]
-            self.idx[s + rows[qi[top]], rank[top]] = ii[top]
+            both = [np.r_[key[j], known[s + rows].ravel()] for key, known in zip(keys, self.keys)]
+            order = np.lexsort((*reversed(both), dd, qi))
+            rank = np.arange(len(order)) - np.searchsorted(qi[order], qi[order])
+            at, rank = order[rank < self.k], rank[rank < self.k]
+            if self.values is not None:
+                held = self.values[s + rows].ravel()
+                old = at >= m
+                value = np.empty(len(at), object)
+                value[old], value[~old] = held[at[old] - m], values[j[at[~old]]]
+                self.values[s + rows[qi[at]], rank] = value
+            self.dist[s + rows[qi[at]], rank] = dd[at]
+            for key, known in zip(both, self.keys):
+                known[s + rows[qi[at]], rank] = key[at]
 
     def rows(self, qid: np.ndarray) -> pa.RecordBatch:
         found = np.isfinite(self.dist)
         i, _ = np.nonzero(found)
-        return pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(self.idx[found]), pa.array(self.dist[found])], names=["qid", "idx", "dist"])
+        columns = {"qid": pa.array(qid[i])} | {("idx", "idx2")[n]: pa.array(key[found]) for n, key in enumerate(self.keys)}
+        if self.values is not None:
+            columns["value"] = pa.array(self.values[found].tolist(), pa.string())
+        columns["dist"] = pa.array(self.dist[found])
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _check_k(k: int) -> None:
@@ -100,49 +123,79 @@ def knn(x: DataFrame, q: DataFrame, k: int, idx: str = "idx", vec: str = "vec",
     RuntimeError; should lengths differ within a side, the job fails. Vectors
     that are null are left out. Columns other than the four named are ignored.
     """
+    rows = x.select(F.col(idx).cast("bigint").alias("i"), F.col(vec).cast("array<float>").alias("v"))
+    return _nearest(rows, q, k, qid, query, 1, itself, block_bytes).select("qid", "rank", "idx", "dist")
+
+
+def knn_carrying(x: DataFrame, q: DataFrame, k: int, ties: tuple[str, str], value: str, vec: str = "vec", qid: str = "qid", query: str = "q", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(qid, rank, value, dist) like ``knn``, for rows that two columns of
+    whole numbers put in order; the text ``value`` of each row comes along,
+    so ``x`` is read once. Nulls and lengths as in ``knn``."""
+    rows = x.select(*(F.col(c).cast("bigint").alias(f"i{n}") for n, c in enumerate(ties)), F.col(value).alias("value"), F.col(vec).cast("array<float>").alias("v"))
+    return _nearest(rows, q, k, qid, query, 2, True, block_bytes).select("qid", "rank", "value", "dist")
+
+
+def _nearest(x: DataFrame, q: DataFrame, k: int, qid: str, query: str, keys: int, itself: bool, block_bytes: int) -> DataFrame:
+    """``x`` is (keys..., value if there are two keys, v)."""
     _check_k(k)
-    x = x.select(F.col(idx).cast("bigint").alias("i"), F.col(vec).cast("array<float>").alias("v")).where("v is not null")
+    carries = keys > 1
+    schema = "qid bigint, idx bigint, idx2 bigint, value string, dist double" if carries else _FOUND
+    x = x.where("v is not null")
     q = q.select(F.col(qid).cast("bigint").alias("i"), F.col(query).cast("array<float>").alias("v")).where("v is not null")
-    dx, dq = _dim(x, "v"), _dim(q, "v")
     spark = x.sparkSession
-    if dx is None or dq is None:
-        return spark.createDataFrame([], "qid bigint, rank bigint, idx bigint, dist double")
-    if dx != dq:
-        raise RuntimeError("Dim mismatch between X and Q")
-    x, q = (df.withColumn("v", _of_dim("v", dq, "X and Q must be 2-D float32")) for df in (x, q))
-    blocks = max(1, -(-q.count() * dq * 4 // block_bytes))
+    dim = _dim(x, "v")
+    if dim is None:
+        return spark.createDataFrame([], schema + ", rank bigint")
+    # a first block tells whether there are more queries than one broadcast takes
+    each = max(1, min(block_bytes // max(1, dim * 4), BEST_BYTES // (24 * k)))
+    first = q.limit(each + 1).toArrow()
+    if not first.num_rows:
+        return spark.createDataFrame([], schema + ", rank bigint")
+    lengths = pc.list_value_length(first.column(1)).to_numpy()
+    if (lengths != dim).any():
+        raise RuntimeError("Dim mismatch between X and Q" if (lengths == lengths[0]).all() else "X and Q must be 2-D float32")
+    blocks = 1 if first.num_rows <= each else -(-q.count() // each)
+    x, q = (df.withColumn("v", _of_dim("v", dim, "X and Q must be 2-D float32")) for df in (x, q))
+    w = Window.partitionBy("qid").orderBy("dist", *("idx", "idx2")[:keys])
     found: list[DataFrame] = []
-    out: DataFrame | None = None
     for b in range(blocks):
-        some = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)).toArrow()
+        some = first if blocks == 1 else q.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toArrow()
         if not some.num_rows:
             continue
         shared = spark.sparkContext.broadcast((ints(some.column(0)), matrix(some.column(1))))
 
         def run(batches, shared=shared):
             ids, queries = shared.value
-            best = Best(queries, None if itself else ids, k)
+            best = None
             held, n = [], 0
+
+            def flush():
+                nonlocal best
+                if best is None:
+                    best = Best(queries, None if itself else ids, k, keys, carries)
+                columns = [np.concatenate(c) for c in zip(*held)]
+                best.add(columns[:keys], columns[-1], columns[keys] if carries else None)
+
             for batch in batches:
                 if batch.num_rows:
-                    held.append((ints(batch.column(0)), matrix(batch.column(1))))
+                    own = [ints(batch.column(c)) for c in range(keys)]
+                    own += [np.array(batch.column(keys).to_pylist(), object)] if carries else []
+                    held.append([*own, matrix(batch.column(batch.num_columns - 1))])
                     n += batch.num_rows
                 if n >= ROWS:
-                    best.add(*(np.concatenate(c) for c in zip(*held)))
+                    flush()
                     held, n = [], 0
             if held:
-                best.add(*(np.concatenate(c) for c in zip(*held)))
-            yield best.rows(ids)
+                flush()
+            if best is not None:
+                yield best.rows(ids)
 
-        w = Window.partitionBy("qid").orderBy("dist", "idx")
-        part = x.mapInArrow(run, _FOUND).withColumn("rank", F.row_number().over(w).cast("bigint") - 1).where(F.col("rank") < k)
+        part = x.mapInArrow(run, schema).withColumn("rank", F.row_number().over(w).cast("bigint") - 1).where(F.col("rank") < k)
         if blocks > 1:  # each block's broadcast is freed before the next
             part = materialise(part)
             shared.unpersist()
         found.append(part)
-    for part in found:
-        out = part if out is None else out.unionByName(part)
-    return out.select("qid", "rank", "idx", "dist")
+    return reduce(DataFrame.unionByName, found)
 
 
 def knn_within(x: DataFrame, q: DataFrame, group: str, k: int, idx: str = "idx", vec: str = "vec", qid: str = "qid", query: str = "q", block_rows: int = 65536) -> DataFrame:
