@@ -6,7 +6,6 @@ queries); those of the engine build a real index in the shared folder.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,7 +18,7 @@ from .functions.checks import bad_rows, repeated_ids, valid
 from .functions.distance import dot, l2_sqr
 from .operators import ann
 from .operators.knn import all_knn, knn, knn_within, nearest_one
-from .shared import ints, matrix, shared_dir
+from .shared import ints, matrix, scratch
 from .sources import files
 from .streaming.upserts import stream_into
 
@@ -109,7 +108,7 @@ def logged_search(spark, sf_dir):
 
 
 def _path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    return scratch(spark, "index")
 
 
 def _rows(x: DataFrame) -> DataFrame:
@@ -200,6 +199,61 @@ def optimize_rows(spark, sf_dir):
     return _live(e)
 
 
+def search_wide_build(spark, sf_dir):
+    """An index built by more tasks than 2**10, then inserted into."""
+    x = embeddings(spark, sf_dir)
+    e = VectorEngine(spark, _path(spark), 64)
+    e.write(_rows(x.where("idx % 2 = 0").repartition(1030, "idx")), "build")
+    e.write(_rows(x.where("idx % 2 = 1")), "insert")
+    return _answers(e, x)
+
+
+def row_calls(spark, sf_dir):
+    """Every row ingested by a call of its own."""
+    x = embeddings(spark, sf_dir).toArrow()
+    e = VectorEngine(spark, _path(spark), 64)
+    e.init("build")
+    for i, v in zip(ints(x.column(0)).tolist(), matrix(x.column(1))):
+        e.ingest(f"{i:08d}", v)
+    e.finalize()
+    return _live(e)
+
+
+def _sizes(e: VectorEngine) -> DataFrame:
+    return e.spark.createDataFrame([(e.main_size, e.delta_size)], "main bigint, delta bigint")
+
+
+def finalize_optimized(spark, sf_dir):
+    """An insert above the ratio is merged at once, one below it is not."""
+    x = embeddings(spark, sf_dir)
+    e = _engine(spark, x.where("idx % 20 <> 0"))
+    e.write(_rows(x.where("idx % 20 = 0")), "insert", optimize=True)
+    small = _sizes(e)
+    e = _engine(spark, x.where("idx % 5 <> 0"))
+    e.write(_rows(x.where("idx % 5 = 0")), "insert", optimize=True)
+    return small.unionByName(_sizes(e))
+
+
+def delta_promoted(spark, sf_dir):
+    """The delta becomes main when no row of main is live."""
+    x = embeddings(spark, sf_dir)
+    e = _engine(spark, x.where("idx % 5 <> 0"))
+    e.write(_rows(x.where("idx % 5 = 0")), "insert")
+    e.delete(_rows(x.where("idx % 5 <> 0")))
+    return _sizes(e)
+
+
+def internal_ids(spark, sf_dir):
+    """The row numbers of an index built in the order of the ids."""
+    x = embeddings(spark, sf_dir)
+    return _engine(spark, x.coalesce(1).sortWithinPartitions("idx")).internal()
+
+
+def answers_as_json(spark, sf_dir):
+    x = embeddings(spark, sf_dir)
+    return files.answers_json(_engine(spark, x).search_batch(hundredth(x), 10))
+
+
 def needs_rebuild_ratio(spark, sf_dir):
     x = embeddings(spark, sf_dir)
     e = _engine(spark, x)
@@ -222,7 +276,7 @@ def duplicate_ids(spark, sf_dir):
 
 def raw_file_roundtrip(spark, sf_dir):
     x = embeddings(spark, sf_dir).orderBy("idx").toArrow()
-    path = f"{_path(spark)}.f32"
+    path = _path(spark)
     files.write_bytes(spark, path, matrix(x.column(1)).astype("<f4").tobytes())
     back = files.raw_vectors(spark, path, 64, [str(i) for i in ints(x.column(0)).tolist()])
     return _ends(back)
@@ -234,7 +288,7 @@ def _ends(rows: DataFrame) -> DataFrame:
 
 def fixed_width_roundtrip(spark, sf_dir):
     x = embeddings(spark, sf_dir).orderBy("idx").toArrow()
-    path = f"{_path(spark)}.rows"
+    path = _path(spark)
     files.write_bytes(spark, path, files.encode_rows(zip(ints(x.column(0)).tolist(), matrix(x.column(1)))))
     return _ends(files.fixed_width(spark, path, 64))
 
@@ -270,7 +324,7 @@ def stream_upserts_all(spark, sf_dir):
     rows = rows.where("req_id is not null and index_name is not null").where(F.col("external_id").isNotNull() & valid("vector", 32))
     rows = rows.select(_collection_key(F.col("index_name"), F.col("external_id")).alias("external_id"), F.col("vector").alias("vec"), "req_id")
     e = VectorEngine(spark, _path(spark), 32)
-    stream_into(rows, e, f"{_path(spark)}-stream", order="req_id", once=True).awaitTermination()
+    stream_into(rows, e, _path(spark), order="req_id", once=True).awaitTermination()
     size = F.substring_index("external_id", ":", 1)
     start, n = F.length(size) + 2, size.cast("int")
     return _live(e).select(F.col("external_id").substr(start, n).alias("index_name"), F.col("external_id").substr(start + n, F.length("external_id")).alias("external_id"), "first")
@@ -291,7 +345,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         l2_sqr_pairs, dot_pairs, l2_mat_vec, dot_mat_vec, brute_knn_batch, all_knn_10, search_single, search_k_gt_n, logged_search,
         search_main_delta, search_after_delete, search_after_delete_all, search_after_upsert, delete_counts, delete_not_found, live_rows,
-        compact_rows, optimize_rows, needs_rebuild_ratio, invalid_vectors, duplicate_ids, raw_file_roundtrip, fixed_width_roundtrip, json_rows,
+        compact_rows, optimize_rows, search_wide_build, row_calls, finalize_optimized, delta_promoted, internal_ids, answers_as_json, needs_rebuild_ratio, invalid_vectors, duplicate_ids, raw_file_roundtrip, fixed_width_roundtrip, json_rows,
         ivf_search, lsh_search, stream_upserts, stream_upserts_all,
     )
 }
@@ -334,6 +388,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, req_id) - 1 AS r
 SELECT qid, rank, req_id, round(d, 6) AS dist FROM r WHERE rank < k""",
     "search_main_delta": _search_sql(_ALL),
     "search_after_delete": _search_sql(_ALL + " WHERE vec_id % 5 <> 0"),
+    "search_after_delete_all": f"SELECT * FROM ({_search_sql(_ALL)}) WHERE false",
+    "search_wide_build": _search_sql(f"SELECT {_ID} AS external_id, embedding, vec_id AS ord FROM embeddings"),
+    "row_calls": f"SELECT {_ID} AS external_id, {_FIRST} FROM embeddings",
+    "finalize_optimized": """SELECT count(*) FILTER (vec_id % 20 <> 0) AS main, count(*) FILTER (vec_id % 20 = 0) AS delta FROM embeddings
+UNION ALL SELECT count(*), 0 FROM embeddings""",
+    "delta_promoted": "SELECT count(*) FILTER (vec_id % 5 = 0) AS main, 0::BIGINT AS delta FROM embeddings",
+    "internal_ids": f"SELECT vec_id AS idx, {_ID} AS external_id FROM embeddings",
+    "answers_as_json": f"""WITH d AS (SELECT b.vec_id AS qid, a.vec_id, {_L2} AS d FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM d)
+SELECT qid, to_json(list({_ID} ORDER BY rank))::VARCHAR AS value FROM r WHERE rank <= 10 GROUP BY qid""",
     "search_after_upsert": _search_sql(_UPSERTED),
     "delete_counts": """SELECT (count(*) FILTER (vec_id % 5 = 0))::BIGINT AS deleted, 0::BIGINT AS again, (count(*) FILTER (vec_id % 5 <> 0))::BIGINT AS live,
 (count(*) FILTER (vec_id % 5 = 0))::BIGINT AS deletes FROM embeddings""",

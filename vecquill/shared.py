@@ -17,26 +17,37 @@ _written: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it in
-    ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    ``spark.checkpoint.dir``. Where none is set, a session in local mode gets
+    a temporary one; on a cluster that is an error, as executors would each
+    write to a folder of their own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="vecquill-")
         spark.sparkContext.setCheckpointDir(known)
         known = spark.sparkContext.getCheckpointDir()
     return known
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted with the intermediate tables."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of files, never a
     recomputation, and the plan behind is computed exactly once.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/vq-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "vq")
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((df.sparkSession, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._vecquill_path = path
     return out
@@ -58,8 +69,9 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release() -> None:
-    """Delete every table that ``materialise`` wrote in this process. Frames
-    that still read them become unreadable; runs by itself at exit."""
+    """Delete every table that ``materialise`` wrote in this process, and every
+    ``scratch`` path. Frames that still read them become unreadable; runs by
+    itself at exit."""
     while _written:
         spark, path = _written.pop()
         try:
