@@ -41,9 +41,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each near repeat with its distance, and whether it is a full copy."""
+    """Each near repeat with its distance, and whether it is a full copy; the
+    requests are accepted once, the batches checked as they arrive."""
     old = requests(spark, sf_dir).select(F.col("req_id").alias("id"), F.col("index_name").alias("collection"), "vector")
-    return history.near_repeats(old, items(spark, sf_dir), total=about(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+    new = items(spark, sf_dir).withColumnRenamed("batch_id", "batch")
+    return history.replay(old, new, total=about(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
