@@ -13,7 +13,7 @@ BAD = [None, [], [1.0] * 31, [1.0] * 33, [float("nan")] + [0.0] * 31, [2e16] + [
 @pytest.fixture(autouse=True, params=[20, 4096], ids=["cells", "single"])
 def single(request, monkeypatch):
     """Everything in cells holds with many of them and with one for each collection."""
-    if request.param == 4096 and any(w in request.node.name for w in ("repeats", "history", "replay", "probes", "paragraphs", "bounds", "selection")):
+    if request.param == 4096 and any(w in request.node.name for w in ("repeats", "history", "replay", "probes", "paragraphs", "bounds", "selection", "contract", "record_by_record", "misses")):
         pytest.skip("has no cells")
     monkeypatch.setattr(vectors, "SINGLE", request.param)
     return request.param
@@ -87,6 +87,76 @@ def test_clusters(spark, seed, options):
     assert sorted((r.cluster_key, r.req_id) for r in got) == sorted(true_clusters(distances(x, names_of(len(x)))))
 
 
+@pytest.mark.parametrize("shape", ["loose", "wide", "chains"])
+def test_clusters_of_large_cells(spark, monkeypatch, shape):
+    """Cells in parts, with pivots found in rounds, give the same connectivity;
+    no task gets more than its part, with or without structure."""
+    monkeypatch.setattr(pivots, "POOLED", 64)
+    rng = np.random.default_rng(11)
+    if shape == "loose":
+        x = rng.standard_normal(32) + 0.15 * rng.standard_normal((700, 32))
+    elif shape == "wide":  # no two similar
+        x = 0.5 * rng.standard_normal((700, 32))
+    else:  # threads of steps around the radius, side by side: many components in one cell
+        step = rng.standard_normal((70, 10, 32))
+        step *= rng.choice([0.9, 0.99, 1.01], (70, 10, 1)) / np.linalg.norm(step, axis=2, keepdims=True)
+        x = (0.35 * rng.standard_normal((70, 1, 32)) + np.cumsum(step, axis=1) * 0.6).reshape(-1, 32)
+        x = np.concatenate([x, x[:40] + 0.17 * rng.standard_normal((40, 32))])
+    x = np.concatenate([x, x[:60]]).astype(np.float32)
+    most, whole = [], pivots.by_cell
+
+    def watched(assigned, run, schema):
+        most.append(assigned.groupBy("cell", "part").count().agg(F.max("count")).first()[0])
+        return whole(assigned, run, schema)
+
+    monkeypatch.setattr(pivots, "by_cell", watched)
+    df = usable(spark, x, names=["a"] * len(x))
+    got = sorted((r.cluster_key, r.req_id) for r in pivots.clusters(df, chunk=100).collect())
+    assert got == sorted(true_clusters(distances(x, np.array(["a"] * len(x)))))
+    if vectors.SINGLE == 20:
+        assert most and max(m or 0 for m in most) <= 200
+
+
+def test_clusters_joined_record_by_record(spark, monkeypatch):
+    """Clusters that no record links to the other's pivot, in blocks and parts."""
+    monkeypatch.setattr(pivots, "POOLED", 64)
+    rng = np.random.default_rng(4)
+    ends = np.zeros((160, 32))
+    ends[:, 0] = rng.integers(0, 40, 160) * 5.0
+    ends[::2, 0] += rng.uniform(0, 0.9, 80)
+    ends[1::2, 0] += rng.uniform(1.0, 2.9, 80)
+    x = ends.astype(np.float32)
+    joined = pivots._joined_pivots
+
+    def small(records, shared, radius):
+        return joined(records, shared, radius, wide_at_once=3, chunk=2)
+
+    monkeypatch.setattr(pivots, "_joined_pivots", small)
+    monkeypatch.setattr(vectors, "SINGLE", 20)
+    cells = vectors.fit_cells
+    one = lambda *a, **o: _one_cell(cells(*a, **o))
+
+    def _one_cell(c):
+        name = next(iter(c.first))
+        c.first, c.last = {name: 0}, {name: 1}
+        c.centers, c.rows = c.centers[:1], np.array([160.0])
+        return c
+
+    monkeypatch.setattr(pivots, "fit_cells", one)
+    got = sorted((r.cluster_key, r.req_id) for r in pivots.clusters(usable(spark, x, names=["a"] * 160), chunk=50).collect())
+    assert got == sorted(true_clusters(distances(x, np.array(["a"] * 160))))
+
+
+def test_collections_that_the_sample_misses(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CERTAIN", 10)
+    monkeypatch.setattr(vectors, "SINGLE", 20)
+    x = np.random.default_rng(1).standard_normal((900, 32)).astype(np.float32)
+    names = ["a"] * 700 + [f"s{i % 4}" for i in range(200)]
+    df = usable(spark, x, names=names, twice=False)
+    assert set(vectors.fit_cells(df, "req_id", 1.0, sample_rows=12, unsampled=30).first) == {"a", "s0", "s1", "s2", "s3"}
+    assert set(vectors.fit_cells(df, "req_id", 1.0, sample_rows=12, unsampled=60).first) >= {"a"}
+
+
 def test_long_chain_over_cells(spark):
     """One connected set far longer than any cell."""
     x = np.zeros((300, 32), np.float32)

@@ -50,7 +50,7 @@ GRID, WIDTH = 6, 1.0
 FINE = 0.25
 CHUNK = 32768
 #: File buckets of the stored history, and records that one task writes of one.
-FILES, ROWS = 16, 65536
+FILES, ROWS = 16, 16384
 #: Keys asked for that are broadcast; beyond, the semi-join is a shuffled one.
 ASKED = 1 << 20
 #: Records of a wave of batches, at least (see ``replay``).

@@ -168,7 +168,7 @@ def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: floa
     kept = numbered.where(F.col("n") <= k + 2).withColumn("twice", F.lag("id").over(same) == F.col("id"))
     kept = materialise(kept.where(~F.coalesce("twice", F.lit(False))).drop("twice"))
     heads = kept.where(F.col("n") <= k + 1).select("id", "c", "v")
-    cells = fit_cells(heads, "id", radius, "c", "v", sample_rows, split_above=split_above, split_to=split_to, total=kept.count())
+    cells = fit_cells(heads, "id", radius, "c", "v", sample_rows, split_above=split_above, split_to=split_to, total=kept.count(), unsampled=split_above)
     assigned = assign(heads, "id", cells, probes=probes, collection="c", vector="v")
     limit = radius * radius
 

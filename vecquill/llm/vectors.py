@@ -24,6 +24,8 @@ DIM = 32
 LARGEST = 1e16
 #: A collection estimated below this many records is one cell.
 SINGLE = 4096
+#: Up to so many rows the sample has rows of every collection that is too large for a task.
+CERTAIN = 1 << 26
 
 
 def usable(df: DataFrame, dim: int = DIM, vector: str = "vector", collection: str = "index_name") -> DataFrame:
@@ -102,7 +104,7 @@ def _leaders(x: np.ndarray, apart: float, most: int) -> np.ndarray:
     return np.array(kept, int)
 
 
-def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_name", vector: str = "vector", sample_rows: int = 65536, most: int = 1024, split_above: int = 0, split_to: int = 16384, total: int | None = None) -> Cells:
+def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_name", vector: str = "vector", sample_rows: int = 65536, most: int = 1024, split_above: int = 0, split_to: int = 16384, total: int | None = None, unsampled: int = 0) -> Cells:
     """Fit the landmarks.
 
     ``sample_rows`` bounds the sample over all collections (by id hash, so it
@@ -111,19 +113,38 @@ def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_n
     the data's size. Every record is later assigned, sampled or not. With
     ``split_above``, cells estimated to hold more rows get centers inside, one
     per ``split_to`` rows (1024 at most). ``total``, if known, is about the
-    number of rows; it saves a count.
+    number of rows; it saves a count. In tables above ``CERTAIN`` rows the
+    collections that got no landmark and have more than ``unsampled`` rows are
+    counted and sampled by themselves, until each has some.
     """
     total = df.count() if total is None else total
+    out = Cells(radius)
     if not total:
-        return Cells(radius)
+        return out
+    _fit(out, df, id_, collection, vector, sample_rows, most, split_above, split_to, total)
+    rest = df
+    while unsampled and total > CERTAIN:
+        counts = rest.groupBy(collection).count().where(F.col("count") > max(unsampled, SINGLE)).collect()
+        counts = {r[0]: r[1] for r in counts if r[0] not in out.first}
+        known = len(out.first)
+        if counts:
+            rest = df.join(F.broadcast(df.sparkSession.createDataFrame([(name,) for name in counts], f"`{collection}` string")), collection)
+            _fit(out, rest, id_, collection, vector, sample_rows, most, split_above, split_to, sum(counts.values()))
+        if len(out.first) == known:
+            return out
+    return out
+
+
+def _fit(out: Cells, df: DataFrame, id_: str, collection: str, vector: str, sample_rows: int, most: int, split_above: int, split_to: int, total: int) -> None:
+    """Add the landmarks of the collections that a sample of ``df`` shows."""
+    radius = out.radius
     scale = 1 << 30
     keep = min(scale, int(scale * sample_rows / total) + 1)
     table = df.where(F.pmod(F.xxhash64(F.col(id_), F.lit(17)), F.lit(scale)) < keep).select(collection, id_, vector).toArrow()
     names = np.array(table.column(0).to_pylist(), object)
     ids, x = ints(table.column(1)), matrix(table.column(2), np.float64)
-    out = Cells(radius)
-    centers, rows = [], []
-    for name in sorted(set(names)):
+    centers, rows = [out.centers] if len(out.centers) else [], [out.rows] if len(out.rows) else []
+    for name in sorted(set(names) - set(out.first)):
         own = names == name
         own_ids, points = ids[own], x[own]
         _, at = np.unique(own_ids, return_index=True)
@@ -162,7 +183,6 @@ def fit_cells(df: DataFrame, id_: str, radius: float, collection: str = "index_n
         rows.append(size)
     if centers:
         out.centers, out.rows = np.concatenate(centers), np.concatenate(rows)
-    return out
 
 
 ASSIGNED = "cell bigint, part int, home boolean, id bigint, vec binary"
@@ -178,10 +198,8 @@ def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float
     * cells split inside (``Cells.inner``): part is the inner center; a record
       is at home with its nearest of the m centers and a guest with the
       ``probes`` m (16 / m)^0.25 nearest, all of them while m is small;
-    * with ``chunk``, a cell estimated above that many rows is cut into parts;
-      records within ``r / 2`` of its center (which are all within ``r`` of
-      each other) go to one part by hash, all others to every part, at home in
-      one of them.
+    * with ``chunk``, a cell estimated above that many rows is cut into parts
+      by hash of the id, each record in one of them.
     """
     shared = df.sparkSession.sparkContext.broadcast(cells)
     alone = -1 - F.shiftrightunsigned(F.xxhash64(collection), 1)
@@ -215,13 +233,7 @@ def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float
                     part = np.zeros(len(i), np.int32)
                     if chunk:
                         parts = np.maximum(1, np.ceil(c.rows[cell] / chunk)).astype(np.int64)
-                        own = (mixed(ids[rows[i]]) % parts.astype(np.uint64)).astype(np.int32)
-                        core = is_home & (d[i, j] <= r * r / 4 * (1 - 1e-9)) if guests else is_home
-                        spread = np.where(core, 1, parts)
-                        k = np.repeat(np.arange(len(i)), spread)
-                        step = np.arange(len(k)) - np.repeat(np.cumsum(spread) - spread, spread)
-                        part = np.where(core[k], own[k], step).astype(np.int32)
-                        i, cell, is_home = i[k], cell[k], is_home[k] & (part == own[k])
+                        part = (mixed(ids[rows[i]]) % parts.astype(np.uint64)).astype(np.int32)
                     elif c.inner:
                         extra = [(rows[i], cell, part, is_home)]
                         for big in np.intersect1d(np.unique(cell), list(c.inner)):
