@@ -40,7 +40,34 @@ def test_seen_before(spark, keys):
     got = sorted(tuple(r) for r in cuckoo.seen_before(a, b, keys).collect())
     assert got == sorted(truth(requests, deletes))
     report = cuckoo.audit(a, b, keys).first()
-    assert report.answered_seen - report.wrong == len(got) and 0 <= report.wrong_rate < 0.01
+    assert report.repeats + report.answered_seen - report.wrong == len(got) and 0 <= report.wrong_rate < 0.01
+    if keys == cuckoo.KEYS:  # no salted keys
+        assert report.repeats + report.asked == report.events
+
+
+@pytest.mark.parametrize("broadcast", [0, cuckoo.BROADCAST])
+def test_waves_and_hot_deletes(spark, monkeypatch, broadcast):
+    """Any number of waves, tables read back from files, and one id that holds
+    most of the deleting events."""
+    monkeypatch.setattr(cuckoo, "BROADCAST", broadcast)
+    requests, deletes = data(3, 500)
+    deletes += [(2000 + i, "x", ["id7", "a", "id7"] * 40, None) for i in range(30)]
+    a, b = spark.createDataFrame(requests, REQ), spark.createDataFrame(deletes, DEL)
+    wanted = truth(requests, deletes)
+    for waves in (1, 3):
+        found, asked = cuckoo._suspected(a, b, 200, waves)
+        called = {(r.req_id, r.pos) for r in found.collect()}
+        assert called >= wanted and asked.count() >= waves
+        assert {(r.req_id, r.pos) for r in cuckoo.checked(a, b, found).where("seen").collect()} == wanted
+
+
+def test_tables_survive_files():
+    c = cuckoo.Cuckoo(16)
+    keys = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 3000)
+    c.add(keys)
+    again = cuckoo.Cuckoo.load(c.dump())
+    assert again.has(keys).all() and [t.entries for t in again.tables] == [t.entries for t in c.tables] and again.stash == c.stash
+    assert all(again.remove(int(k)) for k in keys) and sum(t.entries for t in again.tables) == 0
 
 
 def test_empty(spark):

@@ -7,6 +7,10 @@ first and the fingerprint, so entries can be moved and deleted without their
 keys. A saturated table gets a successor of twice the size, and lookups ask
 all of them.
 
+``Seen`` keeps the tables between runs: a wave of events loads them, asks and
+adds, and writes them as the wave's version, so earlier events are never read
+again.
+
 A table says "seen" for every key that was, and now and then for one that
 was not; those answers, and only those, are checked against the first arrival
 of the exact key, which also gives the rate of wrong answers.
@@ -14,18 +18,23 @@ of the exact key, which also gives the rate of wrong answers.
 
 from __future__ import annotations
 
+import io
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import discard, ints, materialise
+from ..shared import discard, ints, materialise, scratch, sorted_groups
 from .vectors import mixed
 
 SLOTS = 4
 #: Keys per partition that a table is laid out for; further keys make it grow.
 KEYS = 1 << 17
 _FULL = 0.9
+#: Key hashes in question that are broadcast to the exact check; beyond, its semi-join is a shuffled one.
+BROADCAST = 1 << 20
 
 
 class _Table:
@@ -35,6 +44,13 @@ class _Table:
         self.used = np.zeros(buckets, np.int8)
         self.entries = 0
 
+    @classmethod
+    def of(cls, slots: np.ndarray) -> _Table:
+        self = cls.__new__(cls)
+        self.buckets, self.slots, self.used = len(slots), slots, (slots != 0).sum(1).astype(np.int8)
+        self.entries = int(self.used.sum())
+        return self
+
     def other(self, bucket: np.ndarray, mark: np.ndarray) -> np.ndarray:
         turn = mark.astype(np.uint64) * np.uint64(0x5BD1E995)
         return ((bucket.astype(np.uint64) ^ turn) & np.uint64(self.buckets - 1)).astype(np.int64)
@@ -62,26 +78,26 @@ class _Table:
         return out
 
     def add(self, h: np.ndarray, mark: np.ndarray, kicks: int = 200) -> np.ndarray:
-        """Insert; returns the (bucket, mark) rows that found no room, as a
-        2 x n array: the displaced entries, not necessarily the new ones."""
+        """Insert; returns the (bucket, mark) rows that found no room: the
+        displaced entries, not necessarily the new ones."""
         a = self.first(h)
         left = ~self._place(a, mark)
         left[left] = ~self._place(self.other(a[left], mark[left]), mark[left])
-        lost = []
-        for bucket, m in zip(a[left].tolist(), mark[left].tolist()):
-            slot = m % SLOTS
-            for _ in range(kicks):
-                if self.used[bucket] < SLOTS:
-                    self.slots[bucket, self.used[bucket]] = m
-                    self.used[bucket] += 1
-                    self.entries += 1
-                    break
-                slot = (slot + 1) % SLOTS
-                m, self.slots[bucket, slot] = int(self.slots[bucket, slot]), m
-                bucket = int(self.other(np.array([bucket]), np.array([m], np.uint16))[0])
-            else:
-                lost.append((bucket, m))
-        return np.array(lost, np.int64).reshape(-1, 2)
+        bucket, m = self.other(a[left], mark[left]), mark[left]
+        for turn in range(kicks):
+            if not len(m):
+                break
+            # one at a time in each bucket throws out an entry, which goes to its other bucket
+            _, at = np.unique(bucket, return_index=True)
+            b, slot = bucket[at], (m[at].astype(np.int64) + turn) % SLOTS
+            out = self.slots[b, slot]
+            self.slots[b, slot] = m[at]
+            b = self.other(b, out)
+            homeless = ~self._place(b, out)
+            wait = np.ones(len(m), bool)
+            wait[at] = False
+            bucket, m = np.r_[b[homeless], bucket[wait]], np.r_[out[homeless], m[wait]]
+        return np.column_stack([bucket, m.astype(np.int64)])
 
     def remove(self, h: int, mark: int) -> bool:
         a = int(self.first(np.array([h], np.uint64))[0])
@@ -143,6 +159,20 @@ class Cuckoo:
             if len(lost):
                 self.tables.append(_Table(t.buckets * 2))
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        stash = np.array(sorted(self.stash), np.int64).reshape(-1, 3)
+        np.savez(out, stash=stash, **{f"t{n}": t.slots for n, t in enumerate(self.tables)})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Cuckoo:
+        got = np.load(io.BytesIO(data), allow_pickle=False)
+        self = cls.__new__(cls)
+        self.tables = [_Table.of(got[f"t{n}"]) for n in range(len(got.files) - 1)]
+        self.stash = {tuple(row) for row in got["stash"].tolist()}
+        return self
+
     def remove(self, key: int) -> bool:
         h, mark = self._split(np.array([key], np.int64))
         for n, t in enumerate(self.tables):
@@ -158,23 +188,24 @@ class Cuckoo:
 
 
 def seen_in_order(keys: np.ndarray, adds: np.ndarray, table: Cuckoo, step: int = 8192) -> np.ndarray:
-    """Replay events in order: whether the table, or an earlier event of the
-    same step, has the key; adding events then enter it."""
+    """Replay events in order: what the table says about each key; adding
+    events of keys that it doesn't have enter it. In a step, the events up to
+    the first adding one of their key come first, then the others."""
     out = np.zeros(len(keys), bool)
     for s in range(0, len(keys), step):
         k, add = keys[s : s + step], adds[s : s + step]
-        hit = table.has(k)
-        # within the step: keys whose first adding event came before
         order = np.lexsort((np.arange(len(k)), k))
-        sk, sa = k[order], add[order]
+        sk, sa = k[order], add[order].astype(np.int64)
         start = np.r_[True, sk[1:] != sk[:-1]]
         group = np.cumsum(start) - 1
-        begin = np.flatnonzero(start)
-        total = np.cumsum(sa)
-        before = total - sa - (total - sa)[begin][group]
-        out[s : s + step][order] = hit[order] | (before > 0)
-        new = order[sa & (before == 0) & ~hit[order]]
-        table.add(k[np.sort(new)])
+        before = np.cumsum(sa) - sa
+        early = np.empty(len(k), bool)
+        early[order] = before == before[np.flatnonzero(start)][group]
+        hit = np.zeros(len(k), bool)
+        hit[early] = table.has(k[early])
+        table.add(k[early & add & ~hit])
+        hit[~early] = table.has(k[~early])
+        out[s : s + step] = hit
     return out
 
 
@@ -192,20 +223,13 @@ def events(requests: DataFrame, deletes: DataFrame) -> DataFrame:
     return both.withColumn("key", F.xxhash64("name", "ext"))
 
 
-def suspected(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> DataFrame:
-    """(req_id, pos, key) of the events that the tables call seen, each once,
-    as a table written to the shared folder.
+def _reduced(rows: DataFrame) -> DataFrame:
+    """Pre-aggregation of a batch before it moves: an adding event that has an
+    earlier adding event of its key in the same batch, and a deleting one after
+    it, is ``certain``: no table need be asked. So a key that holds a third of
+    all events sends one adding event per batch."""
 
-    Before the events move, each batch is reduced: an adding event that has an
-    earlier adding event of its key in the same batch is seen for certain and
-    need not enter a table, so a key that holds a third of all events sends
-    one of them per batch. Deliveries of one ``req_id`` count once.
-    """
-    rows = events(requests, deletes).select("req_id", "pos", "is_add", "key")
-    total = requests.count() + deletes.count()
-    parts = max(8, -(-total // keys))
-
-    def reduce(batches):
+    def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -215,68 +239,160 @@ def suspected(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> Data
             k, a, r = key[order], add[order], req[order]
             start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             group = np.searchsorted(start, np.arange(len(k)), side="right") - 1
-            least = np.where(a[start], r[start], np.iinfo(np.int64).max)[group]
-            certain = r > least
-            keep = ~certain | ~a  # deleting events stay: they need the table only when not certain
-            out = order[keep & ~certain]
-            sure = order[certain]
-            both = np.r_[out, sure]
-            flag = np.r_[np.zeros(len(out), bool), np.ones(len(sure), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(req[both]), pa.array(pos[both]), pa.array(add[both]), pa.array(key[both]), pa.array(flag)], names=["req_id", "pos", "is_add", "key", "certain"])
-
-    reduced = materialise(rows.mapInArrow(reduce, _EVENT + ", certain boolean"))
-
-    def replay(batches):
-        table = Cuckoo(keys)
-        last = None
-        for batch in batches:
-            if batch.num_rows:
-                # deliveries of one event are neighbours now; the first counts
-                req, pos = ints(batch.column(0)), ints(batch.column(1))
+            certain = np.empty(len(k), bool)
+            certain[order] = r > np.where(a[start], r[start], np.iinfo(np.int64).max)[group]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(certain)], names=["req_id", "pos", "is_add", "key", "certain"])
+
+    return rows.mapInArrow(run, _EVENT + ", certain boolean")
+
+
+_OUT = "kind int, part int, req_id bigint, pos bigint, key bigint, asked bigint, tables binary"
+
+
+class Seen:
+    """Cuckoo tables in ``parts`` partitions, kept in ``path`` between runs.
+
+    ``ask`` takes a wave of events, which come after those of the waves before,
+    and returns the ones that the tables call seen; its version of the tables
+    is written beside the answers, so a wave that is asked again gives the
+    same. Keys with more than ``keys`` deleting events are salted: these events
+    are spread over partitions, and each gets the key's adding ones."""
+
+    def __init__(self, spark: SparkSession, path: str, parts: int, keys: int = KEYS):
+        self.spark, self.path, self.parts, self.keys = spark, path, parts, keys
+
+    def _wave(self, n: int) -> DataFrame:
+        return self.spark.read.schema(_OUT).parquet(f"{self.path}/wave={n}")
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        # all but the lowest bits choose the partition, the tables use a different mix of the hash
+        part = F.xxhash64("key", F.lit(5))
+        deleting = rows.where(~F.col("is_add"))
+        if deleting.count() > self.keys:
+            hot = deleting.groupBy("key").count().where(F.col("count") > self.keys)
+            hot = hot.select("key", F.ceil(F.col("count") / self.keys).cast("int").alias("salts"))  # at most events / keys rows
+            own = F.pmod(F.xxhash64("req_id", "pos"), F.col("salts")).cast("int")
+            salts = F.when(F.col("salts").isNull(), F.array(F.lit(0))).when(F.col("is_add"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(own))
+            rows = rows.join(hot, "key", "left").withColumn("salt", F.explode(salts))
+            part = F.xxhash64("key", "salt", F.lit(5))
+        return rows.select(F.pmod(part, F.lit(self.parts)).cast("int").alias("part"), F.lit(1).alias("kind"), "req_id", "pos", "is_add", "key", F.lit(None).cast("binary").alias("tables"))
+
+    def ask(self, rows: DataFrame, wave: int) -> DataFrame:
+        """(req_id, pos, key) of the events (req_id, pos, is_add, key) that the
+        tables call seen, or that the wave itself makes certain; each once."""
+        reduced = materialise(_reduced(rows))
+        placed = self._placed(reduced.where(~F.col("certain")).drop("certain"))
+        if wave:
+            state = self._wave(wave - 1).where("kind = 1")
+            placed = placed.unionByName(state.select("part", F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("req_id"), F.lit(0).cast("bigint").alias("pos"), F.lit(False).alias("is_add"), F.lit(0).cast("bigint").alias("key"), "tables"))
+        keys = self.keys
+
+        def run(batches):
+            part, table, last, asked = None, None, None, 0
+
+            def state():
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((1, pa.int32()), (part, pa.int32()), (None, pa.int64()), (None, pa.int64()), (None, pa.int64()), (asked, pa.int64()), (table.dump(), pa.binary()))], names=["kind", "part", "req_id", "pos", "key", "asked", "tables"])
+
+            for (own, kind), t in sorted_groups(batches, 2, 1 << 17):
+                if own != part:
+                    if table:
+                        yield state()
+                    part, table, last, asked = own, Cuckoo(keys), None, 0
+                if not kind:
+                    table = Cuckoo.load(t.column(6)[0].as_py())
+                    continue
+                # deliveries of one event are neighbours; the first counts
+                req, pos = ints(t.column(2)), ints(t.column(3))
                 fresh = np.r_[last != (req[0], pos[0]), (req[1:] != req[:-1]) | (pos[1:] != pos[:-1])]
                 last = (req[-1], pos[-1])
-                batch = batch.filter(pa.array(fresh))
-            if batch.num_rows:
-                key, add = ints(batch.column(3)), ints(batch.column(2)).astype(bool)
+                req, pos, key, add = req[fresh], pos[fresh], ints(t.column(5))[fresh], ints(t.column(4)).astype(bool)[fresh]
+                asked += len(req)
                 hit = seen_in_order(key, add, table)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in (batch.column(0), batch.column(1), batch.column(3))], names=["req_id", "pos", "key"])
+                n = int(hit.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, own, np.int32)), pa.array(req[hit]), pa.array(pos[hit]), pa.array(key[hit]), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.binary())], names=["kind", "part", "req_id", "pos", "key", "asked", "tables"])
+            if table:
+                yield state()
+
+        answers = placed.repartition(self.parts, "part").sortWithinPartitions("part", "kind", "req_id", "pos").mapInArrow(run, _OUT)
+        answers.write.option("compression", "zstd").mode("overwrite").parquet(f"{self.path}/wave={wave}")
+        found = materialise(self._wave(wave).where("kind = 0").select("req_id", "pos", "key", F.lit(True).alias("by_table")).unionByName(reduced.where("certain").select("req_id", "pos", "key", F.lit(False).alias("by_table"))))
+        discard(reduced)
+        return found
+
+    def asked(self, wave: int) -> DataFrame:
+        """(asked): the number of events that each partition was asked about."""
+        return self._wave(wave).where("kind = 1").select("asked")
+
+
+def _suspected(requests: DataFrame, deletes: DataFrame, keys: int, waves: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The events that are called seen, and the numbers that the tables were
+    asked about: the arrivals in ``waves`` of about equal size, each asked
+    against the tables that the wave before has left."""
+    rows = events(requests, deletes).select("req_id", "pos", "is_add", "key")
+    total = requests.count() + deletes.count()
+    seen = Seen(requests.sparkSession, scratch(requests.sparkSession, "seen"), max(8, -(-total // keys)), keys)
+    cuts = requests.select(F.percentile_approx("req_id", [k / waves for k in range(1, waves)], 10_000)).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    found, asked = [], []
+    for wave, (low, high) in enumerate(zip(edges, edges[1:])):
+        some = rows
+        if low is not None:
+            some = some.where(F.col("req_id") > low)
+        if high is not None:
+            some = some.where(F.col("req_id") <= high)
+        found.append(seen.ask(some, wave))
+        asked.append(seen.asked(wave))
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, asked)
+
 
-    open_ = reduced.where(~F.col("certain")).select("req_id", "pos", "is_add", "key")
-    # all but the lowest bits choose the partition, the tables use a different mix of the hash
-    asked = open_.repartition(parts, F.xxhash64("key", F.lit(5))).sortWithinPartitions("req_id", "pos").mapInArrow(replay, "req_id bigint, pos bigint, key bigint")
-    found = materialise(asked.unionByName(reduced.where("certain").select("req_id", "pos", "key")).distinct())
-    discard(reduced)
-    return found
+def suspected(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> DataFrame:
+    """(req_id, pos, key, by_table) of the events called seen. Deliveries of
+    one ``req_id`` count once."""
+    return _suspected(requests, deletes, keys)[0]
 
 
-def checked(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> DataFrame:
-    """(req_id, pos, seen) of the suspected events, each once; ``seen`` tells
-    whether an ingest request of smaller ``req_id`` has exactly the same key.
+def checked(requests: DataFrame, deletes: DataFrame, found: DataFrame) -> DataFrame:
+    """(req_id, pos, seen, by_table) of the events ``found``, each once; ``seen``
+    tells whether an ingest request of smaller ``req_id`` has exactly the same
+    key.
 
-    First arrivals are pre-aggregated per key hash. A hash with more than one
-    key among all its events is settled by the keys themselves.
+    Only events of keys in question move; their first arrivals are
+    pre-aggregated per key hash. A hash with more than one key among all its
+    events is settled by the keys themselves.
     """
-    found = suspected(requests, deletes, keys)
-    rows = events(requests, deletes)
-    asked = found.select("key").distinct()
+    found = found.groupBy("req_id", "pos", "key").agg(F.max("by_table").alias("by_table"))
+    asked = materialise(found.select("key").distinct())
+    few = asked.count() <= BROADCAST
+    rows = events(requests, deletes).join(F.broadcast(asked) if few else asked, "key", "left_semi")
     text = F.concat_ws("\x00", F.length("name").cast("string"), "name", "ext")
     firsts = rows.groupBy("key").agg(F.min(F.when(F.col("is_add"), F.col("req_id"))).alias("first"), F.min(F.sha2(text, 256)).alias("low"), F.max(F.sha2(text, 256)).alias("high"))
-    firsts = materialise(firsts.join(asked, "key", "left_semi").select("key", "first", (F.col("low") != F.col("high")).alias("mixed")))
-    plain = found.join(firsts.where(~F.col("mixed")), "key").select("req_id", "pos", (F.col("first").isNotNull() & (F.col("req_id") > F.col("first"))).alias("seen"))
+    firsts = materialise(firsts.select("key", "first", (F.col("low") != F.col("high")).alias("mixed")))
+    seen = (F.col("first").isNotNull() & (F.col("req_id") > F.col("first"))).alias("seen")
+    plain = found.join(firsts.where(~F.col("mixed")), "key").select("req_id", "pos", seen, "by_table")
+    if firsts.where("mixed").isEmpty():
+        return plain
     clash = rows.join(firsts.where("mixed").select("key"), "key", "left_semi")
     start = clash.where("is_add").groupBy("name", "ext").agg(F.min("req_id").alias("first"))
-    slow = found.join(clash.select("req_id", "pos", "key", "name", "ext"), ["req_id", "pos", "key"]).join(start, ["name", "ext"], "left").select("req_id", "pos", (F.col("first").isNotNull() & (F.col("req_id") > F.col("first"))).alias("seen"))
-    return plain.unionByName(slow).distinct()
+    slow = found.join(clash.select("req_id", "pos", "key", "name", "ext").distinct(), ["req_id", "pos", "key"]).join(start, ["name", "ext"], "left").select("req_id", "pos", seen, "by_table")
+    return plain.unionByName(slow)
 
 
 def seen_before(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> DataFrame:
     """(req_id, pos) of the events whose key an earlier ingest request has."""
-    return checked(requests, deletes, keys).where("seen").select("req_id", "pos")
+    return checked(requests, deletes, suspected(requests, deletes, keys)).where("seen").select("req_id", "pos")
 
 
 def audit(requests: DataFrame, deletes: DataFrame, keys: int = KEYS) -> DataFrame:
-    """One row: events, the tables' "seen" answers, the wrong ones among them,
-    and the rate of wrong answers among the events that were not seen."""
+    """One row: events; those that repeat one of their batch and were settled
+    before they moved; those that the tables were asked about; the tables'
+    "seen" answers; the wrong ones among them; and the rate of wrong answers
+    among the events asked about that were not seen. Salted keys' adding
+    events are asked about once for each salt."""
+    found, asked = _suspected(requests, deletes, keys)
     n = events(requests, deletes).select("req_id", "pos").distinct().agg(F.count(F.lit(1)).alias("events"))
-    c = checked(requests, deletes, keys).agg(F.count(F.lit(1)).alias("answered_seen"), F.coalesce(F.sum((~F.col("seen")).cast("bigint")), F.lit(0)).alias("wrong"))
-    return n.crossJoin(c).withColumn("wrong_rate", F.col("wrong") / F.greatest(F.col("events") - F.col("answered_seen") + F.col("wrong"), F.lit(1)))
+    table = F.col("by_table")
+    c = checked(requests, deletes, found).agg(
+        F.count(F.when(~table, 1)).alias("repeats"), F.count(F.when(table, 1)).alias("answered_seen"), F.count(F.when(table & ~F.col("seen"), 1)).alias("wrong")
+    )
+    out = n.crossJoin(c).crossJoin(asked.agg(F.coalesce(F.sum("asked"), F.lit(0)).alias("asked")))
+    return out.select("events", "repeats", "asked", "answered_seen", "wrong", (F.col("wrong") / F.greatest(F.col("asked") - F.col("answered_seen") + F.col("wrong"), F.lit(1))).alias("wrong_rate"))

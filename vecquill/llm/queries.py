@@ -33,6 +33,13 @@ def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.audit(table(spark, sf_dir, "ingest_requests"), table(spark, sf_dir, "delete_requests"))
 
 
+def p1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the audit SQL can know: the events; that each was either asked
+    about or settled before; and that wrong answers are rare."""
+    a = p1_audit(spark, sf_dir)
+    return a.select("events", (F.col("repeats") + F.col("asked") == F.col("events")).alias("all_answered"), (F.col("wrong_rate") < 0.001).alias("few_wrong"))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usable items of all batches: (id, collection, vector)."""
     rows = table(spark, sf_dir, "ingest_batches").select("batch_id", "index_name", F.explode("items").alias("item"))
@@ -127,7 +134,7 @@ def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_audit, p2_found, p2_repeats, p3_members, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p7_found, p7_altered, p8_found, p8_amounts)
+    f.__name__: f for f in (p1_found, p1_audit, p1_events, p2_found, p2_repeats, p3_members, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p7_found, p7_altered, p8_found, p8_amounts)
 }
 
 _USABLE = """SELECT req_id AS id, any_value(index_name) AS c, any_value(vector) AS v FROM ingest_requests
@@ -140,6 +147,9 @@ GROUP BY t.item.item_id"""
 _NEAR = "list_distance(a.v::DOUBLE[], b.v::DOUBLE[])"
 
 SQL: dict[str, str] = {
+    "p1_events": """SELECT (SELECT count(DISTINCT req_id) FROM ingest_requests WHERE index_name IS NOT NULL AND external_id <> '')
++ (SELECT count(*) FROM (SELECT DISTINCT req_id, pos FROM (SELECT req_id, index_name, unnest(external_ids) AS ext, generate_subscripts(external_ids, 1) AS pos FROM delete_requests)
+WHERE index_name IS NOT NULL AND ext <> '')) AS events, true AS all_answered, true AS few_wrong""",
     "p1_found": """WITH f AS (SELECT index_name, external_id, min(req_id) AS first FROM ingest_requests WHERE index_name IS NOT NULL AND external_id <> '' GROUP BY ALL),
 e AS (SELECT DISTINCT req_id, 0::BIGINT AS pos, index_name, external_id FROM ingest_requests
 UNION ALL SELECT DISTINCT req_id, (generate_subscripts(external_ids, 1) - 1)::BIGINT, index_name, unnest(external_ids) FROM delete_requests)
