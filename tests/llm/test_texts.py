@@ -161,6 +161,44 @@ def edits_between(item, doc, length, most):
     return best
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_passages_against_brute_force(spark, edits):
+    """Every stretch with few enough edits is found, and nothing else."""
+    rng = np.random.default_rng(edits)
+    items = [" ".join(words(rng, 12, 50).split()) for _ in range(4)]
+    docs = []
+    for n in range(48):
+        part = list(items[n % 4][int(rng.integers(0, 6)) :])
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(0, len(part)))
+            part[at : at + int(rng.integers(0, 2))] = ["", "q", "é"][int(rng.integers(3))]
+        docs.append(" ".join(f"{words(rng, 2)} {''.join(part)} {words(rng, 2)}".split()))
+    frames = spark.createDataFrame(list(enumerate(docs)), TEXT), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {tuple(r) for r in leakage._search(*frames, 5, edits).collect()}
+    codes = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in items]
+    if edits:
+        wanted = {(d, i) for d, t in enumerate(docs) for i, u in enumerate(items) if edits_between(u, t, leakage._shortest(codes[i], 5), edits) <= edits}
+    else:
+        wanted = {(d, i) for d, t in enumerate(docs) for i, u in enumerate(items) if runs(t, 5) & runs(u, 5)}
+    assert got == wanted and 4 < len(wanted) < 4 * len(docs)
+
+
+def test_bands_in_pieces():
+    """Pieces of any size give the bands of the whole text."""
+    rng = np.random.default_rng(0)
+    item = "".join(rng.choice(list("abc "), 60))
+    text = "".join(rng.choice(list("abc "), 300)) + item + "".join(rng.choice(list("abc "), 900)) + item[5:50] + "ab " * 400
+    index = leakage.build([1], [item + " ab ab ab ab ab ab"], 4, 1)
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    starts = np.array([0, 200, len(codes)])
+    whole = leakage.bands(index, spread(codes), codes, starts, 1, piece=1 << 20)
+    parts = leakage.bands(index, spread(codes), codes, starts, 1, hits_at_once=50, piece=1)
+    assert len(whole) and {tuple(r[:4]) for r in parts.tolist()} <= {tuple(r[:4]) for r in whole.tolist()}
+    flat, edges = index.codes[0], np.array([0, len(index.codes[0])])
+    verified = [{(d, i) for (d, i, *_), ok in zip(f.tolist(), leakage.aligned(codes, starts, flat, edges, f, 1, index.length[f[:, 1]])) if ok} for f in (whole, parts)]
+    assert verified[0] == verified[1] and (1, 0) in verified[0]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text("ab ", min_size=12, max_size=20), st.text("ab ", min_size=12, max_size=30), st.integers(0, 2))
 def test_banded_alignment(item, doc, edits):

@@ -9,8 +9,8 @@ are counted per document, item and band of diagonals - bands are ``2 B`` wide
 and overlap by half, with ``B > e``, so that every such stretch lies in one -
 and bands that meet the bound are verified by alignment within the band.
 
-``leaks`` asks for ``words`` consecutive words without an edit, ``passages``
-allows edits. The items' index is broadcast in blocks of bounded size.
+``leaks`` asks for ``words`` consecutive words without an edit, and checks that
+what aligns are whole words; ``passages`` allows edits. The items' index is broadcast in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import ints
-from .texts import code_points, slices, spread, windows
+from .texts import code_points, ranges, slices, spread, windows
 
 #: Characters of item text in one broadcast block.
 BLOCK = 8_000_000
@@ -90,11 +90,18 @@ def build(ids: list[int], texts: list[str], words: int, edits: int) -> Index:
     return Index(np.array(kept, np.int64), codes, np.array(bound, np.int64), np.array(length, np.int64), grams, bits)
 
 
-def bands(index: Index, letters: np.ndarray, codes: np.ndarray, starts: np.ndarray, edits: int, hits_at_once: int = 1 << 22):
+def bands(index: Index, letters: np.ndarray, codes: np.ndarray, starts: np.ndarray, edits: int, hits_at_once: int = 1 << 22, piece: int = 4096):
     """(document, item, lower diagonal, upper diagonal, first and last position
     of a shared q-gram in the document, with q added) of each band that meets
-    its bound."""
+    its bound.
+
+    Documents are counted in pieces of ``piece`` positions that overlap by the
+    longest stretch asked for, so that every stretch lies in one, and a long
+    text that repeats itself is never held with all its hits."""
     width = edits + 1
+    wide = 2 * width
+    reach = int(index.length.max(initial=0)) + edits
+    piece = max(piece, 4 * reach)
     out = []
     for q, (hashes, items, places) in index.grams.items():
         h = windows(letters, q)
@@ -106,33 +113,35 @@ def bands(index: Index, letters: np.ndarray, codes: np.ndarray, starts: np.ndarr
         many[(maybe + q > starts[doc + 1])] = 0
         ok = many > 0
         maybe, low, many, doc = maybe[ok], low[ok], many[ok], doc[ok]
-        # whole documents at a time, so that counts are complete
-        total = np.cumsum(many)
-        begin = 0
-        while begin < len(maybe):
-            target = (total[begin - 1] if begin else 0) + hits_at_once
-            end = int(np.searchsorted(total, target, "right"))
-            end = len(maybe) if end >= len(maybe) else max(end, begin + 1)
-            if end < len(maybe):
-                cut = int(np.searchsorted(doc, doc[end]))
-                end = cut if cut > begin else int(np.searchsorted(doc, doc[end], "right"))
-            t = slice(begin, end)
-            n = many[t]
-            k = np.repeat(np.arange(len(n)), n)
-            entry = low[t][k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-            where = maybe[t][k] - starts[doc[t][k]]
-            d, i, diagonal = doc[t][k], items[entry], where - places[entry]
-            for shift in (0, width) if edits else (0,):
-                wide = 2 * width if edits else 1
+        if not len(maybe):
+            continue
+        number = (maybe - starts[doc]) // piece
+        begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])
+        end = np.minimum(starts[doc[begin] + 1], starts[doc[begin]] + (number[begin] + 1) * piece + reach)
+        end = np.searchsorted(maybe, end)
+        total = np.r_[0, np.cumsum(many)]
+        hits = np.cumsum(total[end] - total[begin])
+        k = 0
+        while k < len(begin):
+            z = max(k + 1, int(np.searchsorted(hits, (hits[k - 1] if k else 0) + hits_at_once, "right")))
+            n = end[k:z] - begin[k:z]
+            at = np.repeat(begin[k:z], n) + ranges(n)
+            group = np.repeat(np.arange(k, z), n)
+            n = many[at]
+            at, group = np.repeat(at, n), np.repeat(group, n)
+            entry = low[at] + ranges(n)
+            where = maybe[at] - starts[doc[at]]
+            i, diagonal = items[entry], where - places[entry]
+            for shift in (0, width):
                 band = (diagonal - shift) // wide
-                order = np.lexsort((where, band, i, d))
-                dd, ii, bb, ww = d[order], i[order], band[order], where[order]
-                edge = np.flatnonzero(np.r_[True, (dd[1:] != dd[:-1]) | (ii[1:] != ii[:-1]) | (bb[1:] != bb[:-1])]) if len(dd) else np.zeros(0, int)
-                last = np.r_[edge[1:], len(dd)] - 1 if len(edge) else edge
+                order = np.lexsort((where, band, i, group))
+                gg, ii, bb, ww = group[order], i[order], band[order], where[order]
+                edge = np.flatnonzero(np.r_[True, (gg[1:] != gg[:-1]) | (ii[1:] != ii[:-1]) | (bb[1:] != bb[:-1])])
+                last = np.r_[edge[1:], len(gg)] - 1
                 good = (last - edge + 1) >= index.bound[ii[edge]]
-                e, z = edge[good], last[good]
-                out.append(np.stack([dd[e], ii[e], bb[e] * wide + shift, bb[e] * wide + shift + wide - 1, ww[e], ww[z] + q], 1))
-            begin = end
+                e, y = edge[good], last[good]
+                out.append(np.stack([doc[begin[gg[e]]], ii[e], bb[e] * wide + shift, bb[e] * wide + shift + wide - 1, ww[e], ww[y] + q], 1))
+            k = z
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 6), np.int64)
 
 
@@ -211,10 +220,9 @@ def _scan(shared, words: int, edits: int):
                 ids = ints(part.column(0))
                 codes, starts = code_points(part.column(1))
                 found = bands(index, spread(codes), codes, starts, edits)
-                if edits:
-                    hit = np.concatenate([np.zeros(0, int)] + [s + np.flatnonzero(aligned(codes, starts, flat, edges, found[s : s + 8192], edits, index.length[found[s : s + 8192, 1]])) for s in range(0, len(found), 8192)])
-                else:
-                    hit = [n for n, (d, i, lo, _, a, z) in enumerate(found.tolist()) if run_of_words(codes[starts[d] : starts[d + 1]], index.codes[i], lo, words)]
+                hit = np.concatenate([np.zeros(0, int)] + [s + np.flatnonzero(aligned(codes, starts, flat, edges, found[s : s + 8192], edits, index.length[found[s : s + 8192, 1]])) for s in range(0, len(found), 8192)])
+                if not edits:  # equal letters may still begin or end within a word
+                    hit = [n for n, (d, i, lo, hi, _, _) in zip(hit.tolist(), found[hit].tolist()) if any(run_of_words(codes[starts[d] : starts[d + 1]], index.codes[i], at, words) for at in range(lo, hi + 1))]
                 got = np.unique(found[hit][:, :2], axis=0) if len(hit) else np.zeros((0, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[got[:, 0]]), pa.array(index.ids[got[:, 1]])], names=["doc_id", "item_id"])
 
