@@ -252,11 +252,45 @@ def test_shared_spans(spark, monkeypatch, seed, direct):
     pairs, covered = true_spans(rows)
     shared = spans.Shared(df)
     assert sorted(tuple(r) for r in shared.pairs().collect()) == sorted(pairs)
-    got = {r.doc_id: (r.n_chars, r.shared_chars) for r in shared.amounts(df).collect()}
+    got = {r.doc_id: (r.n_chars, r.shared_chars) for r in shared.amounts().collect()}
     texts = dict(rows)
     assert got == {d: (len(texts[d]), n) for d, n in covered.items()}
 
 
+def true_longest(rows):
+    """By spans of 200, 400 and so on in different rows."""
+    texts, out, n = {d: t for d, t in rows if len(t or "") >= 200}, {}, 200
+    while True:
+        where = {}
+        for d, t in texts.items():
+            for i in range(len(t) - n + 1):
+                where.setdefault(hash(t[i : i + n]), set()).add(d)
+        found = {d for ds in where.values() if len(ds) > 1 for d in ds}
+        if not found:
+            return out
+        out.update({d: (len(texts[d]), n) for d in found})
+        n *= 2
+
+
+def test_longest_and_classes(spark, monkeypatch):
+    rows = span_data(4)
+    rng = np.random.default_rng(8)
+    long = "".join(rng.choice(list("abcdefgh"), 2500))
+    rows += [(300, long), (301, long[100:1000] + "x"), (302, "y" + long[700:2400]), (303, long), (304, long[:399])]
+    df = spark.createDataFrame(rows, TEXT)
+    assert {r.doc_id: (r.n_chars, r.shared) for r in spans.longest(df).collect()} == true_longest(rows)
+    shared = spans.Shared(df)
+    stands = {}
+    for d, t in sorted((d, t) for d, t in set(rows) if len(t or "") >= 200):
+        stands.setdefault(t, d)
+    assert {tuple(r) for r in shared.membership().collect()} == {(d, stands[t]) for d, t in rows if len(t or "") >= 200}
+    first = set(stands.values())
+    assert sorted(map(tuple, shared.class_pairs().collect())) == sorted((a, b) for a, b in true_spans(rows)[0] if a in first and b in first)
+    # texts with one number are told apart
+    monkeypatch.setattr(spans, "_key", lambda again, digest: F.when(F.lit(bool(again)), F.xxhash64(F.lit(9), digest)).otherwise(F.lit(5).cast("bigint")))
+    assert sorted(map(tuple, spans.Shared(df).pairs().collect())) == sorted(true_spans(rows)[0])
+
+
 def test_spans_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(spans, "BROADCAST", 0)
     rows = span_data(3)
@@ -266,4 +300,4 @@ def test_spans_without_broadcast(spark, monkeypatch):
 def test_spans_of_nothing(spark):
     for rows in ([], [(1, None), (2, ""), (3, "short")]):
         shared = spans.Shared(spark.createDataFrame(rows, TEXT))
-        assert shared.pairs().count() == 0 and shared.amounts(spark.createDataFrame(rows, TEXT)).count() == 0
+        assert shared.pairs().count() == 0 and shared.amounts().count() == 0 and shared.class_pairs().count() == 0 and spans.longest(spark.createDataFrame(rows, TEXT)).count() == 0

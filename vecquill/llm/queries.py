@@ -129,12 +129,26 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spans.Shared(docs).amounts(docs)
+    return spans.Shared(table(spark, sf_dir, "documents").select("doc_id", "text")).amounts()
+
+
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs between the least rows of different texts."""
+    return spans.Shared(table(spark, sf_dir, "documents").select("doc_id", "text")).class_pairs()
+
+
+def p8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stands for each row's text."""
+    return spans.Shared(table(spark, sf_dir, "documents").select("doc_id", "text")).membership()
+
+
+def p8_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a shared stretch is, by doubling from 200 on."""
+    return spans.longest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_audit, p1_events, p2_found, p2_repeats, p3_members, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p7_found, p7_altered, p8_found, p8_amounts)
+    f.__name__: f for f in (p1_found, p1_audit, p1_events, p2_found, p2_repeats, p3_members, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p7_found, p7_altered, p8_found, p8_amounts, p8_classes, p8_members, p8_longest)
 }
 
 _USABLE = """SELECT req_id AS id, any_value(index_name) AS c, any_value(vector) AS v FROM ingest_requests
@@ -185,6 +199,14 @@ FROM u a JOIN u b ON a.c = b.c AND a.id <> b.id AND {_NEAR} <= 1.0001),
 n AS (SELECT x, y, d, row_number() OVER (PARTITION BY x ORDER BY d, y) - 1 AS rank FROM d WHERE d <= 1.0),
 e AS (SELECT req_id, any_value(external_id) AS external_id FROM ingest_requests GROUP BY req_id)
 SELECT x AS req_id, rank, y AS neighbour_id, external_id, round(d, 6) AS distance FROM n JOIN e ON e.req_id = y WHERE rank < 5""",
+    "p8_classes": """WITH t AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE length(text) >= 200 GROUP BY text),
+g AS (SELECT DISTINCT doc_id, substring(text, i, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM t))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id""",
+    "p8_members": "SELECT DISTINCT doc_id, min(doc_id) OVER (PARTITION BY text) AS representative FROM documents WHERE length(text) >= 200",
+    "p8_longest": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+g AS (SELECT doc_id, n, hash(substring(text, i, n)) AS g FROM (SELECT doc_id, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM t JOIN (SELECT 200 << unnest(range(0, 24)) AS n) ON length(text) >= n)),
+s AS (SELECT n, g FROM g GROUP BY n, g HAVING min(doc_id) < max(doc_id))
+SELECT doc_id, length(text)::BIGINT AS n_chars, max(n)::BIGINT AS shared FROM g JOIN s USING (n, g) JOIN t USING (doc_id) GROUP BY ALL""",
     "p8_amounts": """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
 g AS (SELECT doc_id, i, substring(text, i, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM t)),
 s AS (SELECT g FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),

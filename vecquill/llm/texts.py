@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Odd multiplier of the polynomial hash, modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of two polynomial hashes, modulo 2**64.
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -29,16 +29,16 @@ def spread(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def power(n: int) -> np.uint64:
-    return np.uint64(pow(BASE, n, 1 << 64))
+def power(n: int, base: int = BASE) -> np.uint64:
+    return np.uint64(pow(base, n, 1 << 64))
 
 
-def joined(left: np.ndarray, right: np.ndarray, right_length: int) -> np.ndarray:
+def joined(left: np.ndarray, right: np.ndarray, right_length: int, base: int = BASE) -> np.ndarray:
     """Hashes of the concatenation of windows with these hashes."""
-    return left * power(right_length) + right
+    return left * power(right_length, base) + right
 
 
-def windows(letters: np.ndarray, length: int) -> np.ndarray:
+def windows(letters: np.ndarray, length: int, base: int = BASE) -> np.ndarray:
     """Hashes of all windows of ``length`` letters, by repeated doubling."""
     n = len(letters)
     if n < length:
@@ -51,12 +51,12 @@ def windows(letters: np.ndarray, length: int) -> np.ndarray:
                 out, done = cur, size
             else:
                 m = n - (done + size) + 1
-                out = joined(cur[:m], out[size : size + m], done)
+                out = joined(cur[:m], out[size : size + m], done, base)
                 done += size
         if done == length:
             return out[: n - length + 1]
         m = n - 2 * size + 1
-        cur = joined(cur[:m], cur[size : size + m], size)
+        cur = joined(cur[:m], cur[size : size + m], size, base)
         size *= 2
 
 
