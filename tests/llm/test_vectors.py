@@ -255,6 +255,34 @@ def test_split_cells_keep_recall(spark):
     assert sum(r.missed for r in report) == sum((i, j) not in got for i, js in total.items() for j in js)
 
 
+def test_all_inner_cells_within_the_radius(spark):
+    """Without a number of probes a large cell loses nothing but by the bounds."""
+    x = sample(6, clusters=2, per=600)
+    names = names_of(len(x))
+    truth = true_neighbours(distances(x, names))
+    got = {(r.id, r.neighbour) for r in onebit.neighbours(usable(spark, x), split_above=200, split_to=20, probes=None).collect()}
+    assert sum((i, j) in got for i, js in truth.items() for j in js) >= 0.995 * sum(map(len, truth.values()))
+
+
+@pytest.mark.parametrize("spread,few", [(1.0, 0.02), (0.2, 0.02), (0.2, 1.0), (0.2, 0.0), (0.05, 0.02)])
+def test_nearest_by_codes(monkeypatch, spread, few):
+    """All stages against brute force, with ties, copies and a record in the middle."""
+    monkeypatch.setattr(onebit, "_FEW", few)
+    monkeypatch.setattr(onebit, "_BLOCK", 300)
+    rng = np.random.default_rng(5)
+    x = (spread * rng.standard_normal((1500, 32))).astype(np.float32)
+    x[:40] = x[40:80]
+    x[90:99] = np.median(x, axis=0)
+    ids = rng.permutation(1500) * 3
+    i, j, d = onebit.nearest(ids, x, ids, x, 5, 1.0)
+    full = distances(x, np.zeros(1500))
+    np.fill_diagonal(full, np.inf)
+    assert np.allclose(d, full[i, j], rtol=1e-12)
+    truth = {(a, int(b)) for a in range(1500) for b in np.lexsort((ids, full[a]))[:5] if full[a, b] <= 1.0}
+    got = set(zip(i.tolist(), j.tolist()))
+    assert len(got) == len(i) and len(got - truth) <= 0.01 * len(truth) and len(truth - got) <= 0.01 * len(truth)
+
+
 def test_guests_in_tables(spark, monkeypatch):
     """A cell's guests come in several tables."""
     monkeypatch.setattr(onebit, "GUESTS", 50)

@@ -2,16 +2,23 @@
 
 Within a cell (see ``vectors``) each record's residual from the cell's middle
 is rotated at random into more dimensions and reduced to the signs, packed
-into bytes, and one correction scalar, the inner product of the unit residual
-with its own code. Code and scalar give an unbiased estimate of the inner
-product with any query, and a bound on its error that shrinks with the number
-of bits. Records whose lower bound on the distance does not exceed the k-th
-best distance known are reranked by exact distances in double precision.
+into 64-bit words, and one correction scalar, the inner product of the unit
+residual with its own code. Records are sorted by the residual's norm. A query
+goes through three stages, each for what the one before leaves:
+
+1. blocks of records whose norms alone keep them farther away than the k-th
+   best known are skipped; in the others the bits that differ between the
+   codes are counted, and bound the angle;
+2. the codes' bytes look up the query's partial sums; with the correction
+   scalar these give an unbiased estimate of the inner product, and a bound on
+   its error that shrinks with the number of bits;
+3. records whose lower bound on the distance does not exceed the k-th best
+   known are reranked by exact distances in double precision.
 
 Neighbours farther than the radius are not wanted, so cells need only their
-guests; the error bound (and, in cells too large for one task, the choice of
-inner cells, which is all of them up to a few) is what may miss a neighbour.
-``missed`` measures that share.
+guests; the error bounds (and, in cells too large for one task, the choice of
+inner cells, which is all of them up to a few, or all within the radius with
+``probes`` none) are what may miss a neighbour. ``missed`` measures that share.
 """
 
 from __future__ import annotations
@@ -27,11 +34,13 @@ from ..shared import ints, materialise, matrix, sorted_groups
 from .vectors import assign, by_cell, content_hash, exact_pairs, fit_cells, squared
 
 BITS = 64
-#: Standard errors that the bound allows for.
-SURE = 2.5
-#: Bounds computed at once, and parts of a row of them of which the least is taken.
-_ENTRIES, _PARTS = 1 << 18, 16
-#: Relative rounding of the product in single precision.
+#: Standard errors that the bound on the estimate allows for, and that on the number of different bits.
+SURE, SURE_BITS = 2.5, 3.5
+#: Queries and records whose codes are compared at once.
+_QUERIES, _BLOCK = 64, 4096
+#: Share of a block's pairs up to which estimates are looked up pair by pair.
+_FEW = 0.02
+#: Relative rounding in single precision.
 _SLACK = 2e-5
 #: Guests of a cell that a task holds at once.
 GUESTS = 1 << 17
@@ -53,51 +62,99 @@ def encode(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.packbits(y > 0, axis=1), norm, np.where(norm > 0, scalar, 1).astype(np.float32)
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ between all pairs of codes (rows of 64-bit words)."""
+    out = np.bitwise_count(a[:, :1] ^ b[None, :, 0])
+    for w in range(1, a.shape[1]):
+        out = out.astype(np.uint16) + np.bitwise_count(a[:, w : w + 1] ^ b[None, :, w])
+    return out
+
+
+def _most_bits(norm: np.ndarray, low: float, high: float, limit: np.ndarray, bits: int) -> np.ndarray:
+    """Bits in which a query of this norm may differ from a record with a norm
+    between ``low`` and ``high`` and a squared distance up to ``limit``."""
+    q = np.maximum(norm, 1e-30)
+    rest = q * q - limit
+    at = np.maximum(np.where(rest > 0, np.clip(np.sqrt(np.maximum(rest, 0)), low, high), low), 1e-30)
+    share = np.arccos(np.clip((rest / at + at) / (2 * q), -1, 1)) / np.pi
+    return np.ceil(bits * share + SURE_BITS * np.sqrt(bits * share * (1 - share))) + 1
+
+
 def nearest(qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, limit: float, bits: int = BITS, sure: float = SURE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of the query, row of the neighbour, squared distance): for each
     query the ``k`` nearest rows of another id up to ``limit``, ties by id.
-    Ids of rows are distinct."""
+    Ids of rows are distinct; ``bits`` is a multiple of 64."""
     n = len(ids)
     if not n or not len(qids):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    x64, q64 = x.astype(np.float64), qx.astype(np.float64)
-    mid = np.median(x64, axis=0)
-    turn = rotation(x.shape[1], bits).T
-    o, oq = (x64 - mid).astype(np.float32), (q64 - mid).astype(np.float32)
+    mid = np.median(x.astype(np.float64), axis=0)
+    o, oq = (x - mid).astype(np.float32), (qx - mid).astype(np.float32)
     codes, norm, scalar = encode(o, bits)
-    base = norm * norm
-    error = sure * 2 * norm * np.sqrt(np.maximum(1 - scalar**2, 0)) / scalar / np.sqrt(bits - 1)
+    rows = np.argsort(norm, kind="stable")
+    codes, norm, scalar, x64, ids = codes[rows], norm[rows].astype(np.float64), scalar[rows], x[rows].astype(np.float64), ids[rows]
+    words = codes.view(np.uint64)
+    error = 2 * norm * np.sqrt(np.maximum(1 - scalar.astype(np.float64) ** 2, 0)) / scalar * (sure / np.sqrt(bits - 1))
     factor = 2 * norm / (scalar * np.sqrt(bits))
-    # one product gives every lower bound less the query's own part: the estimate, the record's norm, and the error for the query's norm
-    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
-    right = np.concatenate([signs * -factor[:, None], (base - _SLACK * base)[:, None], -error[:, None]], 1).astype(np.float32).T.copy()
-    norm_q = np.sqrt((oq * oq).sum(1))
-    left = np.concatenate([oq @ turn, np.ones((len(oq), 1)), norm_q[:, None]], 1).astype(np.float32)
-    own = (norm_q * norm_q * (1 - _SLACK) - 2e-6).astype(np.float32)
+    q_codes, q_norm, _ = encode(oq, bits)
+    q_words, q_norm, q64 = q_codes.view(np.uint64), q_norm.astype(np.float64), qx.astype(np.float64)
+    turned = oq @ rotation(x.shape[1], bits).T
+    # partial sums of a query for every value of a byte
+    signs = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).T
+    blocks = [(s, min(n, s + _BLOCK)) for s in range(0, n, _BLOCK)]
+    lows, highs = np.array([norm[s] for s, _ in blocks]), np.array([norm[e - 1] for _, e in blocks])
+    dense: dict[int, np.ndarray] = {}
     out = []
-    step = int(min(1024, max(16, _ENTRIES // n)))
-    m = n // _PARTS * _PARTS
-    some = k + 4
-    for s in range(0, len(qids), step):
-        q = slice(s, s + step)
-        low = left[q] @ right
-        b = len(low)
+    some = min(k + 4, n)
+    queries = np.argsort(q_norm, kind="stable")
+    for s in range(0, len(queries), _QUERIES):
+        at = queries[s : s + _QUERIES]
+        b = len(at)
+        nq = q_norm[at]
         known = np.full(b, limit)
-        if m // _PARTS > 4 * some:
-            # a bound on the k-th distance: exact distances of some records that look near, of which one may be the query itself
-            parts = low[:, :m].reshape(b, _PARTS, m // _PARTS)
-            pick = np.argpartition(parts.min(1), some - 1, axis=1)[:, :some]
-            inside = parts[np.arange(b)[:, None], :, pick].argmin(2)
-            d = exact_pairs(q64[q], x64, np.repeat(np.arange(b), some), (inside * (m // _PARTS) + pick).ravel()).reshape(b, some)
-            known = np.minimum(known, np.partition(d, k, axis=1)[:, k])
-        at = np.flatnonzero(low <= (known - own[q]).astype(np.float32)[:, None])
-        i, j = at // n, at % n
-        away = qids[q][i] != ids[j]
-        i, j = i[away], j[away]
-        d = exact_pairs(q64[q], x64, i, j)
-        ok = d <= known[i]
-        i, j, d = best(i[ok], j[ok], d[ok], ids, k)
-        out.append((s + i, j, d))
+        sums = (turned[at].reshape(b, bits // 8, 8) @ signs).ravel()
+        held = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        middle = nq[b // 2]
+        for first, block in enumerate(np.argsort(np.maximum(lows - middle, 0) + np.maximum(middle - highs, 0), kind="stable").tolist()):
+            low, high = lows[block], highs[block]
+            t = slice(*blocks[block])
+            gap = np.maximum(np.maximum(low - nq, nq - high), 0)
+            live = np.flatnonzero(gap * gap * (1 - _SLACK) - 1e-6 <= known)
+            if not len(live):
+                continue
+            differ = _differing(q_words[at[live]], words[t])
+            if not first and differ.shape[1] > 4 * some:
+                # a bound on the k-th distance: exact distances of some records that look near, of which one may be the query itself
+                pick = np.argpartition(differ, some - 1, axis=1)[:, :some]
+                d = exact_pairs(q64, x64, np.repeat(at[live], some), t.start + pick.ravel()).reshape(len(live), some)
+                known[live] = np.minimum(known[live], np.partition(d, min(k, some - 1), axis=1)[:, min(k, some - 1)])
+            most = _most_bits(nq[live], low, high, known[live] * (1 + _SLACK) + 1e-6, bits)
+            alike = differ <= np.minimum(most, bits).astype(differ.dtype)[:, None]
+            if np.count_nonzero(alike) > _FEW * differ.size:
+                # the angles tell little apart here: the same estimate and bound for all pairs, by a product
+                if block not in dense:
+                    unpacked = np.unpackbits(codes[t], axis=1).astype(np.float32) * 2 - 1
+                    dense[block] = np.concatenate([unpacked * -factor[t, None], (norm[t] ** 2 * (1 - _SLACK))[:, None], -error[t, None]], 1).astype(np.float32).T.copy()
+                left = np.concatenate([turned[at[live]], np.ones((len(live), 1)), nq[live, None]], 1).astype(np.float32)
+                flat = np.flatnonzero(left @ dense[block] <= (known[live] - nq[live] ** 2 * (1 - _SLACK) + 2e-6).astype(np.float32)[:, None])
+                i, j = live[flat // differ.shape[1]], t.start + flat % differ.shape[1]
+                bound = -np.inf
+            else:
+                flat = np.flatnonzero(alike)
+                i, j = live[flat // differ.shape[1]], t.start + flat % differ.shape[1]
+                estimate = np.zeros(len(i), np.float32)
+                for byte in range(bits // 8):
+                    estimate += sums[(i * (bits // 8) + byte) * 256 + codes[j, byte]]
+                bound = (nq[i] ** 2 + norm[j] ** 2) * (1 - _SLACK) - estimate * factor[j] - error[j] * nq[i] - 2e-6
+            keep = (bound <= known[i]) & (qids[at[i]] != ids[j])
+            i, j = i[keep], j[keep]
+            d = exact_pairs(q64, x64, at[i], j)
+            ok = d <= known[i]
+            i, j, d = best(*(np.concatenate(v) for v in zip(held, (i[ok], j[ok], d[ok]))), ids, k)
+            held = i, j, d
+            full = np.flatnonzero(np.bincount(i, minlength=b) == k)
+            last = np.searchsorted(i, full, "right") - 1
+            known[full] = np.minimum(known[full], d[last])
+        out.append((at[held[0]], rows[held[1]], held[2]))
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
@@ -105,7 +162,7 @@ def best(i: np.ndarray, j: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -
     """The first ``k`` rows of each query by distance, then id."""
     order = np.lexsort((ids[j], d, i))
     i, j, d = i[order], j[order], d[order]
-    counts = np.bincount(i)
+    counts = np.bincount(i) if len(i) else np.zeros(0, int)
     top = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) < k
     return i[top], j[top], d[top]
 
@@ -150,11 +207,15 @@ class _Cell:
         return self.qids[i], other, d
 
 
-def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: float = 1.0, collection: str = "index_name", vector: str = "vector", bits: int = BITS, sure: float = SURE, sample_rows: int = 65536, split_above: int = SPLIT_ABOVE, split_to: int = 16384, probes: float = 0.6) -> DataFrame:
+def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: float = 1.0, collection: str = "index_name", vector: str = "vector", bits: int = BITS, sure: float = SURE, sample_rows: int = 65536, split_above: int = SPLIT_ABOVE, split_to: int = 16384, probes: float | None = 0.6) -> DataFrame:
     """(id, neighbour, distance): for every usable record its ``k`` nearest
     others in the collection, none farther than ``radius``; ties go to the
     smaller id.
 
+    Cells above ``split_above`` are searched in the share of inner cells that
+    ``probes`` gives (see ``assign``); with none, in all that the radius
+    reaches, which loses nothing however large the cell is.
+
     Of equal vectors only the ``k + 1`` of least id can be anybody's
     neighbours (``k`` of them precede all others at equal distance), so only
     those enter the cells; the others' neighbours are the first ``k`` of them.
@@ -162,8 +223,9 @@ def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: floa
     result.
     """
     base = records.select(F.col(id_).cast("bigint").alias("id"), F.col(collection).alias("c"), F.col(vector).alias("v"))
-    same = Window.partitionBy("h").orderBy("id")
-    numbered = base.withColumn("h", content_hash("c", "v")).withColumn("n", F.dense_rank().over(same))
+    # two independent hashes of 64 bits tell which vectors are equal
+    same = Window.partitionBy("h", "h2").orderBy("id")
+    numbered = base.withColumn("h", content_hash("c", "v")).withColumn("h2", F.xxhash64(F.lit(1), "c", "v")).withColumn("n", F.dense_rank().over(same))
     # one more than can be anybody's neighbour tells which groups have a rest
     kept = numbered.where(F.col("n") <= k + 2).withColumn("twice", F.lag("id").over(same) == F.col("id"))
     kept = materialise(kept.where(~F.coalesce("twice", F.lit(False))).drop("twice"))
@@ -190,15 +252,15 @@ def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: floa
             yield pa.RecordBatch.from_arrays([pa.array(q[t]), pa.array(other[t]), pa.array(d[t])], names=["id", "neighbour", "distance"])
 
     found = by_cell(assigned, run, "id bigint, neighbour bigint, distance double")
-    full = materialise(kept.where(F.col("n") == k + 2).select("h").distinct())
+    full = materialise(kept.where(F.col("n") == k + 2).select("h", "h2").distinct())
     if full.isEmpty():
         return found
     # copies beyond the first k + 1
-    ranks = kept.select("h", "n", "id").join(full, "h", "left_semi").distinct()
-    firsts = ranks.where(F.col("n") <= k).select("h", F.col("id").alias("neighbour"))
-    last = ranks.where(F.col("n") == k + 1).select("h", F.col("id").alias("last"))
-    tail = base.select("id", content_hash("c", "v").alias("h")).join(last, "h").where("id > last").select("id", "h").distinct()
-    return found.unionByName(tail.join(firsts, "h").select("id", "neighbour", F.lit(0.0).alias("distance")))
+    ranks = kept.select("h", "h2", "n", "id").join(full, ["h", "h2"], "left_semi").distinct()
+    firsts = ranks.where(F.col("n") <= k).select("h", "h2", F.col("id").alias("neighbour"))
+    last = ranks.where(F.col("n") == k + 1).select("h", "h2", F.col("id").alias("last"))
+    tail = base.select("id", content_hash("c", "v").alias("h"), F.xxhash64(F.lit(1), "c", "v").alias("h2")).join(last, ["h", "h2"]).where("id > last").select("id", "h", "h2").distinct()
+    return found.unionByName(tail.join(firsts, ["h", "h2"]).select("id", "neighbour", F.lit(0.0).alias("distance")))
 
 
 def pairs(found: DataFrame) -> DataFrame:

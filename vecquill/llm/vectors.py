@@ -188,7 +188,7 @@ def _fit(out: Cells, df: DataFrame, id_: str, collection: str, vector: str, samp
 ASSIGNED = "cell bigint, part int, home boolean, id bigint, vec binary"
 
 
-def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float = 0.6, collection: str = "index_name", vector: str = "vector", guests: bool = True) -> DataFrame:
+def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float | None = 0.6, collection: str = "index_name", vector: str = "vector", guests: bool = True) -> DataFrame:
     """One row per record and cell that it belongs to (see the module); without
     ``guests`` only the row at home.
 
@@ -197,7 +197,8 @@ def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float
 
     * cells split inside (``Cells.inner``): part is the inner center; a record
       is at home with its nearest of the m centers and a guest with the
-      ``probes`` m (16 / m)^0.25 nearest, all of them while m is small;
+      ``probes`` m (16 / m)^0.25 nearest, all of them while m is small; without
+      ``probes`` with all whose half-space it comes as near as ``r`` to;
     * with ``chunk``, a cell estimated above that many rows is cut into parts
       by hash of the id, each record in one of them.
     """
@@ -240,6 +241,12 @@ def assign(df: DataFrame, id_: str, cells: Cells, chunk: int = 0, probes: float
                             t = np.flatnonzero(cell == big)
                             seeds = c.inner[int(big)]
                             di = squared(p[i[t]], seeds)
+                            if probes is None:
+                                first = di.argmin(1)
+                                apart = np.sqrt(squared(seeds, seeds))[first]
+                                k, near = np.nonzero(di - di.min(1)[:, None] <= 2 * r * apart + slack[i[t]][:, None])
+                                extra.append((rows[i[t]][k], np.full(len(k), big), near.astype(np.int32), is_home[t][k] & (near == first[k])))
+                                continue
                             n = min(len(seeds), int(np.ceil(probes * len(seeds) * (16 / len(seeds)) ** 0.25)))
                             order = np.argpartition(di, n - 1, axis=1)[:, :n] if n < len(seeds) else np.broadcast_to(np.arange(n), di.shape)
                             first = di.argmin(1)
