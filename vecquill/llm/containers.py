@@ -5,8 +5,8 @@ a remainder; everything else stays whole. Items are dealt to shards by hash;
 each shard is packed by several islands, populations that evolve apart and
 pass their best packing on to the next island between epochs. A child takes
 over well-filled containers of one parent whole, drops the other parent's
-containers that hold any of their items, and places the displaced items where
-they fit best. Populations travel as rows, so an epoch is a stage of the plan
+containers that hold any of their items, exchanges displaced items for smaller
+ones in what is left, and places the rest where they fit best. Populations travel as rows, so an epoch is a stage of the plan
 and a lost executor only repeats its shards.
 """
 
@@ -116,9 +116,36 @@ def start(sizes: list[int], capacity: int, rng: np.random.Generator, first: bool
     return Packing(bins, room, capacity)
 
 
+def exchange(loose: list[int], sizes: list[int], bins: list[list[int]], room: list[int]) -> list[int]:
+    """Fill containers better by exchanging an item, or two, for a displaced
+    one that takes more of the room; returns what is displaced then, which is
+    smaller and fits elsewhere more easily."""
+    free = sorted((sizes[i], i) for i in loose)
+    for b, items in enumerate(bins):
+        if not room[b] or not free:
+            continue
+        most, swap = 0, None
+        for n, t in enumerate(items):
+            for other in (None, *items[n + 1 :]):
+                have = sizes[t] + (sizes[other] if other is not None else 0)
+                at = bisect_left(free, (have + room[b] + 1, -1)) - 1
+                if at >= 0 and free[at][0] - have > most:
+                    most, swap = free[at][0] - have, (t, other, at)
+        if swap:
+            t, other, at = swap
+            _, new = free.pop(at)
+            gone = [t] if other is None else [t, other]
+            bins[b] = [i for i in items if i not in gone] + [new]
+            room[b] -= most
+            for i in gone:
+                insort(free, (sizes[i], i))
+    return [i for _, i in free]
+
+
 def child(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
     """Inject well-filled containers of ``b`` into ``a``; then dissolve a few
-    of the emptiest as mutation, and place what was displaced by best fit."""
+    of the emptiest as mutation, and place what was displaced by exchange and
+    best fit."""
     order = np.argsort(np.array(b.room), kind="stable")
     order = order[: max(1, len(order) * 2 // 3)]
     taken = order[rng.random(len(order)) < 0.5].tolist() or [int(order[0])]
@@ -135,6 +162,7 @@ def child(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.rando
     drop = set(empty)
     bins = [x for t, x in enumerate(bins) if t not in drop]
     room = [x for t, x in enumerate(room) if t not in drop]
+    loose = exchange(loose, sizes, bins, room)
     best_fit(loose, sizes, bins, room, capacity)
     return Packing(bins, room, capacity)
 

@@ -35,7 +35,7 @@ from .vectors import assign, by_cell, content_hash, exact_pairs, fit_cells, squa
 
 BITS = 64
 #: Standard errors that the bound on the estimate allows for, and that on the number of different bits.
-SURE, SURE_BITS = 2.5, 3.5
+SURE, SURE_BITS = 3.0, 4.0
 #: Queries and records whose codes are compared at once.
 _QUERIES, _BLOCK = 64, 4096
 #: Share of a block's pairs up to which estimates are looked up pair by pair.

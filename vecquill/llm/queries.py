@@ -70,6 +70,14 @@ def p3_select(spark: SparkSession, sf_dir: str, k: int = 64) -> DataFrame:
     return diverse.select(base, k).join(names, "req_id")
 
 
+def p3_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can know of the selection: the records of each collection, all
+    of which have a representative, and the representatives, each of which
+    stands for itself."""
+    own = F.count(F.when((F.col("req_id") == F.col("representative")) & (F.col("distance") == 0), 1))
+    return p3_members(spark, sf_dir).groupBy("index_name").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("representative").alias("representatives"), own.alias("own"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.clusters(requests(spark, sf_dir), total=about(spark, sf_dir))
 
@@ -115,6 +123,18 @@ def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.report(packed(spark, sf_dir))
 
 
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces without their containers: each text once, split only
+    if it is larger than one."""
+    return packed(spark, sf_dir).select("doc_id", "piece", "size")
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens in containers, and containers above the capacity."""
+    per = packed(spark, sf_dir).groupBy("container").agg(F.sum("size").alias("size"))
+    return per.agg(F.sum("size").alias("tokens"), F.count(F.when(F.col("size") > containers.CAPACITY, 1)).alias("above"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items").select("item_id", "text"))
 
@@ -148,7 +168,7 @@ def p8_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_audit, p1_events, p2_found, p2_repeats, p3_members, p3_select, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p7_found, p7_altered, p8_found, p8_amounts, p8_classes, p8_members, p8_longest)
+    f.__name__: f for f in (p1_found, p1_audit, p1_events, p2_found, p2_repeats, p3_members, p3_select, p3_covered, p4_found, p4_typical, p5_found, p5_results, p5_missed, p6_found, p6_containers, p6_filled, p6_pieces, p6_kept, p7_found, p7_altered, p8_found, p8_amounts, p8_classes, p8_members, p8_longest)
 }
 
 _USABLE = """SELECT req_id AS id, any_value(index_name) AS c, any_value(vector) AS v FROM ingest_requests
@@ -183,6 +203,11 @@ FROM u a JOIN u b ON a.c = b.c AND a.id <> b.id AND {_NEAR} <= 1.0001),
 n AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY d, y) AS k FROM d WHERE d <= 1.0)
 SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM n WHERE k <= 5""",
     "p6_found": r"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]')) > 2048""",
+    "p6_pieces": r"""SELECT doc_id, piece::BIGINT AS piece, least(2048, n - 2048 * piece)::BIGINT AS size FROM
+(SELECT doc_id, n, unnest(range(0, greatest(1, (n + 2047) // 2048))) AS piece FROM
+(SELECT doc_id, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]')), 0)::BIGINT AS n FROM documents))""",
+    "p6_kept": r"""SELECT sum(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]')))::BIGINT AS tokens, 0::BIGINT AS above FROM documents""",
+    "p3_covered": f"""SELECT c AS index_name, count(*) AS records, least(64, count(DISTINCT v)) AS representatives, least(64, count(DISTINCT v)) AS own FROM ({_USABLE}) GROUP BY c""",
     "p7_found": r"""WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
 UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items),
 g AS (SELECT DISTINCT kind, id, array_to_string(list_slice(w, i, i + 9), ' ') AS g FROM (SELECT kind, id, w, unnest(range(1, len(w) - 8)) AS i FROM w WHERE len(w) >= 10))
