@@ -263,6 +263,35 @@ def test_more_tasks_than_any_number_of_bits(spark, path):
     assert e.live_count() == 1032 and len(e.rows().inputFiles()) == 1
 
 
+def test_trained_index(spark, path):
+    """Cells with deltas and deletions; all cells give the exact result."""
+    e = engine(spark, path, 50)
+    with pytest.raises(RuntimeError, match="No index"):
+        VectorEngine(spark, path + "x", DIM).train()
+    exact = {i: e.search(X[i], 5) for i in range(0, 50, 10)}
+    shares = e.train(8)
+    assert len(shares) == 8 and shares == sorted(shares) and shares[-1] == 1
+    assert {i: e.search(X[i], 5, efs=1 << 30) for i in exact} == exact and e.rows().columns == ["external_id", "vec", "seq", "pos"]
+    put(e, "insert", {f"n{i}": X[i] for i in range(50, 60)})
+    put(e, "upsert", {"id3": X[4]})
+    e.delete_items(["id0", "n55"])
+    q = spark.createDataFrame([(i, X[i].tolist()) for i in range(60)], "qid bigint, q array<float>")
+    order = lambda df: [tuple(r) for r in df.orderBy("qid", "rank").collect()]
+    assert order(e.search_batch(q, 5, efs=1 << 30)) == order(e.search_batch(q, 5))
+    some = e.search_batch(q, 5, efs=5)
+    assert {r.external_id for r in some.where("rank = 0").collect()} - {"id0", "n55"} and some.where("external_id in ('id0', 'n55')").count() == 0
+    assert e.search_batch(q.limit(0), 5, efs=5).count() == 0 and e.search(X[57], 1) == ["n57"]
+    bad = spark.createDataFrame([("z", [1.0])], "external_id string, vec array<float>")
+    with pytest.raises(Exception, match="dimension mismatch"):
+        e.write(bad)
+    before = order(e.search_batch(q, 5))
+    e.rebuild_compact()
+    assert order(e.search_batch(q, 5, efs=1 << 30)) == before
+    assert VectorEngine(spark, path).search(X[57], 1, efs=8) == ["n57"] and e.vacuum() > 0 and e.search(X[57], 1) == ["n57"]
+    put(e, "build", {"only": X[0]})
+    assert e.search(X[9], 3) == ["only"] and not e._manifest().centers
+
+
 def test_vacuum_spares_what_a_writer_announced(spark, path):
     e = engine(spark, path, 5)
     pending = e.store.folder("rows")

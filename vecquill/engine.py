@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.checks import ROWS, bad_reason, check_vector, repeated_ids
+from .operators import ann
 from .operators.knn import knn_carrying, nearest_one
 from .plans.store import Conflict, Manifest, Store
 
-SEGMENT = "external_id string, vec array<float>, seq bigint, pos bigint"
+SEGMENT = "external_id string, vec array<float>, seq bigint, pos bigint, cell int"
 DEAD = "external_id string, seq bigint"
 #: Bytes of a file that compaction writes.
 FILE = 128 << 20
@@ -124,12 +125,17 @@ class VectorEngine:
         """All live rows (external_id, vec, seq, pos) of a version, main before
         delta in the order of (seq, pos)."""
         m = self._manifest(version)
+        return self._all(m).drop("cell")
+
+    def _all(self, m: Manifest) -> DataFrame:
         return self._live(m, "main").unionByName(self._live(m, "delta"))
 
     def search(self, q, k: int = 10, efs: int = 64, version: int | None = None) -> list[str]:
         """Ids of the ``k`` nearest live rows, nearest first; ties in the order
         of arrival. Without an index, after ``close`` and with no live row the
-        result is empty. ``efs`` is checked and otherwise not needed."""
+        result is empty. The search is exact; in a trained index (see
+        ``train``) it reads the cells nearest to the query only, as many as
+        ``efs`` asks for: 64 aims at 0.95 of the neighbours, more at more."""
         m = self._manifest(version)
         v = check_vector(q, self.dim, "search")
         if k < 1:
@@ -138,15 +144,70 @@ class VectorEngine:
             raise ValueError("efs must be at least 1")
         if not m.exists or not m.main_rows + m.delta_rows:
             return []
-        rows = self._live(m, "main").unionByName(self._live(m, "delta"))
+        rows = self._all(m)
+        if m.centers:
+            rows = rows.where(F.col("cell").isin(ann.nearest_cells(v[None], self._centers(m), self._probes(m, max(efs, k)))[0].tolist()))
         return [r[0] for r in nearest_one(rows, v, k, ties=("seq", "pos")).select("external_id").collect()]
 
-    def search_batch(self, queries: DataFrame, k: int = 10, qid: str = "qid", query: str = "q", version: int | None = None) -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int = 10, qid: str = "qid", query: str = "q", version: int | None = None, efs: int | None = None) -> DataFrame:
         """(qid, rank, external_id, distance) for every query, rank from 0;
-        ties in the order of arrival."""
-        found = knn_carrying(self.rows(version), queries, k, ("seq", "pos"), "external_id", "vec", qid, query)
+        ties in the order of arrival. Exact, unless ``efs`` is given and the
+        index is trained."""
+        m = self._manifest(version)
+        if efs is not None and m.centers:
+            rows = self._all(m).select("cell", F.col("seq").alias("i0"), F.col("pos").alias("i1"), F.col("external_id").alias("value"), F.col("vec").alias("v"))
+            found = ann.probe(rows, queries, self._centers(m), self._probes(m, max(efs, k)), k, qid, query)
+        else:
+            found = knn_carrying(self._all(m), queries, k, ("seq", "pos"), "external_id", "vec", qid, query)
         return found.select("qid", "rank", F.col("value").alias("external_id"), F.col("dist").alias("distance"))
 
+    def _centers(self, m: Manifest) -> np.ndarray:
+        rows = self.spark.read.schema("cell int, center array<double>").parquet(m.centers).orderBy("cell").collect()
+        return np.array([r.center for r in rows])
+
+    @staticmethod
+    def _probes(m: Manifest, efs: int) -> int:
+        """The least number of cells that hold the share that ``efs`` aims at."""
+        return next((n for n, share in enumerate(m.recall, 1) if share >= efs / (efs + 3)), len(m.recall))
+
+    def train(self, cells: int = 16, sample: int = 100_000, seed: int = 0) -> list[float]:
+        """Divide the index into ``cells`` by k-means and fold it into a new
+        main sorted by cell, so that a search reads some cells only; rows
+        written later get their cell as they come, and a build forgets it all.
+        The fit and the measured share of neighbours in the nearest 1, 2, ...
+        cells, which is returned, come from at most about ``sample`` rows;
+        every row is in a cell."""
+
+        def step(m: Manifest):
+            n = m.main_rows + m.delta_rows
+            if not n:
+                raise RuntimeError("No index loaded. Build first.")
+            rows = self.rows()
+            centers = ann.fit_centers(rows, max(1, min(cells, n)), sample, seed)
+            few = min(1.0, sample / 5 / n)
+            some = rows.sample(fraction=few, seed=seed + 1) if few < 1 else rows
+            m.recall = ann.held(np.array([r[0] for r in some.select("vec").collect()], np.float32), centers)
+            seq, made = m.commit + 1, [self.store.folder("centers")]
+            try:
+                self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, center array<double>").coalesce(1).write.parquet(made[0])
+                m.centers = made[0]
+                made.append(self._fold(m, seq))
+                m.commit = seq
+                self.store.commit(m)
+                self.store.settle(made)
+            except BaseException:
+                for f in made:
+                    self.store.drop(f)
+                raise
+            return m.recall
+
+        return self._change(step)
+
+    def _in_cells(self, m: Manifest, rows: DataFrame) -> DataFrame:
+        """Rows of a segment with their cell, if the index is trained."""
+        rows = rows.select("external_id", "vec", "seq", "pos")
+        return ann.with_cell(rows, self._centers(m)) if m.centers else rows.withColumn("cell", F.lit(None).cast("int"))
+
     def internal(self, kind: str = "main", version: int | None = None) -> DataFrame:
         """(idx, external_id) of a segment, dead rows included, numbered from 0
         in the order of arrival. Only the number of rows of each written task
@@ -271,6 +332,11 @@ class VectorEngine:
             made = [folder]
             try:
                 numbered = rows.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("pos", F.monotonically_increasing_id())
+                if mode == "build":
+                    m.centers, m.recall = "", []
+                if m.centers:  # lengths are checked before they are compared with centers
+                    numbered = numbered.withColumn("vec", F.when(F.size("vec") == self.dim, F.col("vec")).otherwise(F.raise_error(F.lit("ingest: dimension mismatch")).cast("array<float>")))
+                    numbered = self._in_cells(m, numbered).sortWithinPartitions("cell")
                 numbered.write.parquet(folder)
                 new = self.spark.read.schema(SEGMENT).parquet(folder)
                 n = self._validate(new, mode, checked)
@@ -355,7 +421,10 @@ class VectorEngine:
         read, so rows don't move."""
         folder = self.store.folder("rows")
         files = -(-(m.main_rows + m.delta_rows) * (4 * self.dim + 48) // FILE)
-        self._live(m, "main").unionByName(self._live(m, "delta")).coalesce(max(1, files)).write.parquet(folder)
+        rows = self._all(m).coalesce(max(1, files))
+        if m.centers:
+            rows = self._in_cells(m, self._all(m)).repartitionByRange(max(1, files), "cell", "seq", "pos").sortWithinPartitions("cell")
+        rows.write.option("parquet.block.size", FILE // 8).parquet(folder)
         m.main, m.delta, m.main_dead, m.delta_dead = [[folder, seq]], [], [], []
         m.main_rows, m.delta_rows, m.main_deletes, m.delta_deletes = m.main_rows + m.delta_rows, 0, 0, 0
         return folder

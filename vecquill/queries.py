@@ -307,6 +307,32 @@ def ivf_search(spark, sf_dir):
     return _rounded(reduce(DataFrame.unionByName, found))
 
 
+def _trained(spark, sf_dir) -> tuple[VectorEngine, DataFrame]:
+    """A trained index with a delta and deletions."""
+    x = embeddings(spark, sf_dir)
+    e = _engine(spark, x.where("idx % 4 <> 1"))
+    e.train(16)
+    e.write(_rows(x.where("idx % 4 = 1")), "insert")
+    e.delete(_rows(x.where("idx % 5 = 0")))
+    return e, x
+
+
+def search_all_cells(spark, sf_dir):
+    """With all cells probed the approximate search is exact."""
+    e, x = _trained(spark, sf_dir)
+    return e.search_batch(ten(x), 10, efs=1 << 30).select("qid", "rank", "external_id", F.round("distance", 6).alias("dist"))
+
+
+def search_recall(spark, sf_dir):
+    """Whether the default ``efs`` finds 0.9 of the exact neighbours, in a
+    trained index with a delta and deletions."""
+    e, x = _trained(spark, sf_dir)
+    q = hundredth(x)
+    truth, found = (e.search_batch(q, 10, efs=efs).select("qid", "external_id") for efs in (None, 64))
+    hit = truth.join(found.withColumn("hit", F.lit(1)), ["qid", "external_id"], "left")
+    return hit.agg(F.countDistinct("qid").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 def lsh_search(spark, sf_dir):
     x = embeddings(spark, sf_dir)
     return _rounded(ann.hashed(x, hundredth(x), 10, 1.6))
@@ -346,7 +372,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         l2_sqr_pairs, dot_pairs, l2_mat_vec, dot_mat_vec, brute_knn_batch, all_knn_10, search_single, search_k_gt_n, logged_search,
         search_main_delta, search_after_delete, search_after_delete_all, search_after_upsert, delete_counts, delete_not_found, live_rows,
         compact_rows, optimize_rows, search_wide_build, row_calls, finalize_optimized, delta_promoted, internal_ids, answers_as_json, needs_rebuild_ratio, invalid_vectors, duplicate_ids, raw_file_roundtrip, fixed_width_roundtrip, json_rows,
-        ivf_search, lsh_search, stream_upserts, stream_upserts_all,
+        ivf_search, search_all_cells, search_recall, lsh_search, stream_upserts, stream_upserts_all,
     )
 }
 
@@ -387,6 +413,8 @@ d AS (SELECT b.qid, b.k, a.req_id, {_L2} AS d FROM x a JOIN q b ON a.c = b.c),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, req_id) - 1 AS rank FROM d)
 SELECT qid, rank, req_id, round(d, 6) AS dist FROM r WHERE rank < k""",
     "search_main_delta": _search_sql(_ALL),
+    "search_all_cells": _search_sql(_ALL + " WHERE vec_id % 5 <> 0"),
+    "search_recall": "SELECT count(*) AS queries, 10 * count(*) AS neighbours, true AS enough FROM embeddings WHERE vec_id % 100 = 0",
     "search_after_delete": _search_sql(_ALL + " WHERE vec_id % 5 <> 0"),
     "search_after_delete_all": f"SELECT * FROM ({_search_sql(_ALL)}) WHERE false",
     "search_wide_build": _search_sql(f"SELECT {_ID} AS external_id, embedding, vec_id AS ord FROM embeddings"),
