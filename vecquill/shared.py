@@ -17,15 +17,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it in
-    ``spark.checkpoint.dir``. Where none is set, a session in local mode gets
-    a temporary one; on a cluster that is an error, as executors would each
-    write to a folder of their own."""
+    ``spark.checkpoint.dir``. Where none is set, a session whose executors all
+    run on this machine gets a temporary one; on a cluster that is an error, as
+    executors would each write to a folder of their own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="vecquill-")
         spark.sparkContext.setCheckpointDir(known)
