@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecquill import shared
 from vecquill.llm import diverse, history, onebit, pivots, vectors
 
 SCHEMA = "req_id bigint, index_name string, external_id string, vector array<float>"
@@ -157,6 +158,42 @@ def test_collections_that_the_sample_misses(spark, monkeypatch):
     assert set(vectors.fit_cells(df, "req_id", 1.0, sample_rows=12, unsampled=60).first) >= {"a"}
 
 
+def scattered(seed=3, clusters=80, per=20):
+    """Tight clusters far from each other, some chains between the levels' borders, and single records."""
+    rng = np.random.default_rng(seed)
+    parts = [m + 0.06 * rng.standard_normal((per, 32)) for m in 2 * rng.standard_normal((clusters, 32))]
+    for p in parts[:12]:
+        away = rng.standard_normal(32)
+        parts.append(p[0] + np.arange(1, 7)[:, None] * 0.8 * away / np.linalg.norm(away))
+    x = np.concatenate([*parts, 3 * rng.standard_normal((60, 32))]).astype(np.float32)
+    return x[rng.permutation(len(x))]
+
+
+def test_clusters_that_the_sample_misses(spark):
+    x = scattered()
+    df = usable(spark, x, twice=False)
+    cells = vectors.fit_cells(df, "req_id", 1.0, sample_rows=50)
+    rows = [(r.cell, r.home, r.id) for r in vectors.assign(df, "req_id", cells).select("cell", "home", "id").collect()]
+    assert len(rows) < 2 * len(x)
+    assert sorted(i for _, home, i in rows if home) == list(range(len(x)))
+    at, home = {}, {}
+    for cell, is_home, i in rows:
+        at.setdefault(i, set()).add(cell)
+        home.update({i: cell} if is_home else {})
+    near = distances(x, names_of(len(x))) <= 1.0
+    assert near.sum() > 10 * len(x) and all(home[i] in at[j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    got = pivots.clusters(df, sample_rows=50, chunk=100).collect()
+    assert sorted((r.cluster_key, r.req_id) for r in got) == sorted(true_clusters(distances(x, names_of(len(x)))))
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    kept = lambda: {str(b) for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()) if "shuffle" in str(b)}
+    before = kept()
+    table = shared.materialise(spark.range(5000).repartition(7, "id"))
+    assert not kept() - before
+    assert table.count() == 5000
+
+
 def test_long_chain_over_cells(spark):
     """One connected set far longer than any cell."""
     x = np.zeros((300, 32), np.float32)
