@@ -266,6 +266,21 @@ def test_neighbours(spark, seed):
     assert all(len(v) <= 5 for v in got.values())
 
 
+def test_neighbours_where_the_sample_misses_clusters(spark, monkeypatch):
+    x = scattered()
+    truth = true_neighbours(distances(x, names_of(len(x))))
+    sizes, whole = [], onebit.by_cell
+
+    def watched(assigned, run, schema):
+        sizes.append(assigned.count())
+        return whole(assigned, run, schema)
+
+    monkeypatch.setattr(onebit, "by_cell", watched)
+    rows = onebit.neighbours(usable(spark, x), sample_rows=50).collect()
+    assert max(sizes) < 2 * len(x)
+    assert len({(r.id, r.neighbour) for r in rows} ^ {(i, j) for i, t in truth.items() for j in t}) <= 0.02 * len(rows)
+
+
 def test_many_copies(spark):
     """A third of all rows is one vector."""
     x = sample(4)
