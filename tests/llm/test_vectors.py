@@ -235,6 +235,35 @@ def test_typical(spark):
         assert all(d[a[2], b[2]] <= 4.0 for a in members for b in members)
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 60])
+def test_typical_by_pivots_alone(spark, chunk):
+    """In every cell, also around its landmark, the clusters are those of the
+    pivots in hash order, members go to the closest, and the first is the medoid."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([m + s * rng.standard_normal((60, 32)) for m in rng.standard_normal((4, 32)) for s in (0.04, 0.14)]).astype(np.float32)
+    rows = pivots.typical(usable(spark, x, twice=False), members=1000, chunk=chunk).collect()
+    d = distances(x, names_of(len(x)))
+    np.fill_diagonal(d, 0)
+    order = np.argsort(vectors.mixed(np.arange(len(x))))
+    cells = {}
+    for r in rows:
+        cells.setdefault((r.index_name, r.cluster_cell), {}).setdefault(r.cluster_pivot, []).append((r.place, r.req_id, r.cluster_size))
+    assert sum(len(m) for c in cells.values() for m in c.values()) == len(x)
+    for clusters in cells.values():
+        own = {i for m in clusters.values() for _, i, _ in m}
+        chosen = []
+        for i in order.tolist():
+            if i in own and not any(d[i, p] <= 1.0 for p in chosen):
+                chosen.append(i)
+        assert set(clusters) == set(chosen)
+        for pivot, members in clusters.items():
+            ids = [i for _, i, _ in members]
+            assert all(n == len(ids) for *_, n in members)
+            assert all(min(chosen, key=lambda p: d[i, p]) == pivot for i in ids)
+            medoid = next(i for place, i, _ in members if place == 0)
+            assert d[medoid, ids].sum() <= d[np.ix_(ids, ids)].sum(1).min() + 1e-6
+
+
 @pytest.mark.parametrize("spread", [0.13, 0.2])
 def test_typical_in_parts(spark, monkeypatch, spread):
     """A large cell's clusters are those of the cell in one piece."""
