@@ -321,6 +321,27 @@ def test_many_copies(spark):
     assert sorted((r.cluster_key, r.req_id) for r in pivots.clusters(usable(spark, x), chunk=50).collect()) == sorted(true_clusters(d))
 
 
+def test_copies_by_probes_move_in_rounds(spark, monkeypatch):
+    """Where cells are split into many inner ones, or have many guests, no
+    round moves more than a bounded number of rows for each record."""
+    x = sample(3, clusters=4, per=300)
+    base, options = usable(spark, x), {"split_above": 60, "split_to": 15}
+    sizes, whole = [], onebit.by_cell
+
+    def watched(assigned, run, schema):
+        sizes.append(assigned.count())
+        return whole(assigned, run, schema)
+
+    monkeypatch.setattr(onebit, "by_cell", watched)
+    with monkeypatch.context() as m:
+        m.setattr(onebit, "AT_ONCE", 1e9, raising=False)
+        once = onebit.neighbours(base, **options).collect()
+    rounds = onebit.neighbours(base, **options).collect()
+    assert sizes[0] > 4 * len(x) and sum(sizes[1:]) == sizes[0]
+    assert max(sizes[1:]) < 3 * len(x)
+    assert sorted(rounds) == sorted(once)
+
+
 def test_split_cells_keep_recall(spark):
     """Cells too large for a task are split inside; the loss stays small."""
     x = sample(6, clusters=2, per=1500)
@@ -364,6 +385,18 @@ def test_nearest_by_codes(monkeypatch, spread, few):
     assert len(got) == len(i) and len(got - truth) <= 0.01 * len(truth) and len(truth - got) <= 0.01 * len(truth)
 
 
+def test_few_exact_distances_where_bounds_leave_much(monkeypatch):
+    """Where the codes tell little apart, most pairs still need no exact distance."""
+    x = (0.06 * np.random.default_rng(3).standard_normal((3000, 32))).astype(np.float32)
+    ids, pairs, exact = np.arange(3000), [], onebit.exact_pairs
+    monkeypatch.setattr(onebit, "exact_pairs", lambda a, b, i, j: pairs.append(len(i)) or exact(a, b, i, j))
+    i, j, d = onebit.nearest(ids, x, ids, x, 5, 1.0)
+    full = distances(x, np.zeros(3000))
+    np.fill_diagonal(full, np.inf)
+    assert {*zip(i.tolist(), j.tolist())} == {(a, b) for a in range(3000) for b in np.argsort(full[a], kind="stable")[:5].tolist()}
+    assert sum(pairs) < 0.05 * 3000 * 3000
+
+
 def test_guests_in_tables(spark, monkeypatch):
     """A cell's guests come in several tables."""
     monkeypatch.setattr(onebit, "GUESTS", 50)

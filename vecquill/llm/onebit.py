@@ -13,25 +13,32 @@ goes through three stages, each for what the one before leaves:
    scalar these give an unbiased estimate of the inner product, and a bound on
    its error that shrinks with the number of bits;
 3. records whose lower bound on the distance does not exceed the k-th best
-   known are reranked by exact distances in double precision.
+   known are reranked by exact distances in double precision. In blocks of
+   which the estimates leave much, as in the middle of a loose cluster, the
+   next queries are reranked at once: by a product in single precision, then
+   exactly what that leaves within its rounding.
 
 Neighbours farther than the radius are not wanted, so cells need only their
 guests; the error bounds (and, in cells too large for one task, the choice of
 inner cells, which is all of them up to a few, or all within the radius with
 ``probes`` none) are what may miss a neighbour. ``missed`` measures that share.
+
+Guests and inner cells make copies of a record. Where that are many, each record
+is written once with the list of its cells, and the cells are searched in rounds,
+so that no more than about ``AT_ONCE`` copies of a record are on disk at a time.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import ints, materialise, matrix, sorted_groups
-from .vectors import assign, by_cell, content_hash, exact_pairs, fit_cells, squared
+from ..shared import discard, ints, materialise, matrix, sorted_groups
+from .vectors import assign, by_cell, content_hash, copies, exact_pairs, fit_cells, in_round, squared
 
 BITS = 64
 #: Standard errors that the bound on the estimate allows for, and that on the number of different bits.
@@ -46,6 +53,8 @@ _SLACK = 2e-5
 GUESTS = 1 << 17
 #: Cells estimated above this many records are split inside.
 SPLIT_ABOVE = 24576
+#: Rows that are moved at once, for each record; more are moved in rounds.
+AT_ONCE = 2.0
 
 
 @lru_cache(maxsize=4)
@@ -103,7 +112,22 @@ def nearest(qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
     blocks = [(s, min(n, s + _BLOCK)) for s in range(0, n, _BLOCK)]
     lows, highs = np.array([norm[s] for s, _ in blocks]), np.array([norm[e - 1] for _, e in blocks])
     dense: dict[int, np.ndarray] = {}
+    # blocks of which the estimates leave much
+    loose: dict[int, bool | tuple[np.ndarray, np.ndarray]] = {}
     out = []
+
+    def keep_best(held, at, i, j, known, b):
+        """The best of what is held and of the pairs (i, j), by exact distances; lowers ``known``."""
+        other = qids[at[i]] != ids[j]
+        i, j = i[other], j[other]
+        d = exact_pairs(q64, x64, at[i], j)
+        ok = d <= known[i]
+        i, j, d = best(*(np.concatenate(v) for v in zip(held, (i[ok], j[ok], d[ok]))), ids, k)
+        full = np.flatnonzero(np.bincount(i, minlength=b) == k)
+        last = np.searchsorted(i, full, "right") - 1
+        known[full] = np.minimum(known[full], d[last])
+        return i, j, d
+
     some = min(k + 4, n)
     queries = np.argsort(q_norm, kind="stable")
     for s in range(0, len(queries), _QUERIES):
@@ -121,6 +145,21 @@ def nearest(qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
             live = np.flatnonzero(gap * gap * (1 - _SLACK) - 1e-6 <= known)
             if not len(live):
                 continue
+            if block in loose:
+                # distances in single precision, less their rounding, tell which pairs are reranked
+                if not isinstance(loose[block], tuple):
+                    loose[block] = o[rows[t]].T.copy(), (norm[t] ** 2 * (1 - _SLACK)).astype(np.float32)
+                near = (-2 * oq[at[live]]) @ loose[block][0]
+                near += loose[block][1]
+                if not first and near.shape[1] > 4 * some:
+                    every = max(1, near.shape[1] // max(512, 4 * some))
+                    pick = t.start + every * np.argpartition(near[:, ::every], some - 1, axis=1)[:, :some]
+                    d = exact_pairs(q64, x64, np.repeat(at[live], some), pick.ravel()).reshape(len(live), some)
+                    known[live] = np.minimum(known[live], np.partition(d, min(k, some - 1), axis=1)[:, min(k, some - 1)])
+                flat = np.flatnonzero(near <= (known[live] - nq[live] ** 2 * (1 - _SLACK) + 2e-6).astype(np.float32)[:, None])
+                i, j = live[flat // near.shape[1]], t.start + flat % near.shape[1]
+                held = keep_best(held, at, i, j, known, b)
+                continue
             differ = _differing(q_words[at[live]], words[t])
             if not first and differ.shape[1] > 4 * some:
                 # a bound on the k-th distance: exact distances of some records that look near, of which one may be the query itself
@@ -136,8 +175,9 @@ def nearest(qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
                     dense[block] = np.concatenate([unpacked * -factor[t, None], (norm[t] ** 2 * (1 - _SLACK))[:, None], -error[t, None]], 1).astype(np.float32).T.copy()
                 left = np.concatenate([turned[at[live]], np.ones((len(live), 1)), nq[live, None]], 1).astype(np.float32)
                 flat = np.flatnonzero(left @ dense[block] <= (known[live] - nq[live] ** 2 * (1 - _SLACK) + 2e-6).astype(np.float32)[:, None])
+                if len(flat) > _FEW * differ.size:
+                    loose[block] = True
                 i, j = live[flat // differ.shape[1]], t.start + flat % differ.shape[1]
-                bound = -np.inf
             else:
                 flat = np.flatnonzero(alike)
                 i, j = live[flat // differ.shape[1]], t.start + flat % differ.shape[1]
@@ -145,15 +185,8 @@ def nearest(qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
                 for byte in range(bits // 8):
                     estimate += sums[(i * (bits // 8) + byte) * 256 + codes[j, byte]]
                 bound = (nq[i] ** 2 + norm[j] ** 2) * (1 - _SLACK) - estimate * factor[j] - error[j] * nq[i] - 2e-6
-            keep = (bound <= known[i]) & (qids[at[i]] != ids[j])
-            i, j = i[keep], j[keep]
-            d = exact_pairs(q64, x64, at[i], j)
-            ok = d <= known[i]
-            i, j, d = best(*(np.concatenate(v) for v in zip(held, (i[ok], j[ok], d[ok]))), ids, k)
-            held = i, j, d
-            full = np.flatnonzero(np.bincount(i, minlength=b) == k)
-            last = np.searchsorted(i, full, "right") - 1
-            known[full] = np.minimum(known[full], d[last])
+                i, j = i[bound <= known[i]], j[bound <= known[i]]
+            held = keep_best(held, at, i, j, known, b)
         out.append((at[held[0]], rows[held[1]], held[2]))
     return tuple(np.concatenate(v) for v in zip(*out))
 
@@ -230,8 +263,10 @@ def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: floa
     kept = numbered.where(F.col("n") <= k + 2).withColumn("twice", F.lag("id").over(same) == F.col("id"))
     kept = materialise(kept.where(~F.coalesce("twice", F.lit(False))).drop("twice"))
     heads = kept.where(F.col("n") <= k + 1).select("id", "c", "v")
-    cells = fit_cells(heads, "id", radius, "c", "v", sample_rows, split_above=split_above, split_to=split_to, total=kept.count(), unsampled=split_above)
-    assigned = assign(heads, "id", cells, probes=probes, collection="c", vector="v")
+    total = kept.count()
+    cells = fit_cells(heads, "id", radius, "c", "v", sample_rows, split_above=split_above, split_to=split_to, total=total, unsampled=split_above)
+    options = {"probes": probes, "collection": "c", "vector": "v"}
+    rounds = int(np.ceil(copies(heads, "id", cells, total, **options) / AT_ONCE))
     limit = radius * radius
 
     def run(batches):
@@ -251,12 +286,22 @@ def neighbours(records: DataFrame, id_: str = "req_id", k: int = 5, radius: floa
             t = slice(s, s + 65536)
             yield pa.RecordBatch.from_arrays([pa.array(q[t]), pa.array(other[t]), pa.array(d[t])], names=["id", "neighbour", "distance"])
 
-    found = by_cell(assigned, run, "id bigint, neighbour bigint, distance double")
+    schema = "id bigint, neighbour bigint, distance double"
     full = materialise(kept.where(F.col("n") == k + 2).select("h", "h2").distinct())
+    ranks = kept.select("h", "h2", "n", "id").join(full, ["h", "h2"], "left_semi").distinct()
+    if rounds <= 1:
+        found = by_cell(assign(heads, "id", cells, **options), run, schema)
+    else:
+        # a record is at home in one part of one cell, so each round has all neighbours of its records
+        ranks = materialise(ranks)
+        routed = materialise(assign(heads, "id", cells, routed=True, **options))
+        discard(kept)
+        each = [materialise(by_cell(in_round(routed, rounds, r), run, schema)) for r in range(rounds)]
+        discard(routed)
+        found = reduce(DataFrame.unionByName, each)
     if full.isEmpty():
         return found
     # copies beyond the first k + 1
-    ranks = kept.select("h", "h2", "n", "id").join(full, ["h", "h2"], "left_semi").distinct()
     firsts = ranks.where(F.col("n") <= k).select("h", "h2", F.col("id").alias("neighbour"))
     last = ranks.where(F.col("n") == k + 1).select("h", "h2", F.col("id").alias("last"))
     tail = base.select("id", content_hash("c", "v").alias("h"), F.xxhash64(F.lit(1), "c", "v").alias("h2")).join(last, ["h", "h2"]).where("id > last").select("id", "h", "h2").distinct()
